@@ -1,0 +1,6 @@
+"""Registered queries."""
+
+from fcverify.catalog import verification  # noqa: F401
+from fcverify.catalog.base import ENTRIES
+
+__all__ = ["ENTRIES"]
