@@ -26,7 +26,7 @@ def _chunk_percentiles(index: str, levels: Mapping[str, float], keys: Sequence[s
         out = {k: local[k].to_numpy() for k in [*keys, index]}
         for level, p in levels.items():
             mine = earlier[earlier["__level"] == level]
-            pool = sorted(mine["__v"].to_numpy(float))
+            pool = sorted(mine["__past_v"].to_numpy(float))
             below = int(mine["__below"].min()) if len(mine) else prior
             result = np.empty(len(values))
             for i, v in enumerate(values):
@@ -106,14 +106,18 @@ def expanding_percentile(
     supplied = (
         placed.join(needed, [*keys, "__b"])
         .filter(F.col("__chunk") < F.col("__to"))
-        .select(*keys, F.col("__to").alias("__chunk"), "__level", "__below", "__v")
+        .select(
+            *[F.col(k).alias(f"__of_{k}") for k in keys],
+            "__to", "__level", "__below", F.col("__v").alias("__past_v"),
+        )
     )
     local = rows.join(sizes.select(*keys, "__chunk", "__prior"), [*keys, "__chunk"])
     kept = [f for f in local.schema.fields if f.name in keys]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{index}` bigint"] + [f"`{n}` double" for n in names]
     )
-    group = [*keys, "__chunk"]
-    return local.groupBy(*group).cogroup(supplied.groupBy(*group)).applyInPandas(
+    # other names on the second side: both sides descend from the same rows
+    other = [*[f"__of_{k}" for k in keys], "__to"]
+    return local.groupBy(*keys, "__chunk").cogroup(supplied.groupBy(*other)).applyInPandas(
         _chunk_percentiles(index, levels, keys), schema
     )
