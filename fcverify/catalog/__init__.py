@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from fcverify.catalog import preparation, verification  # noqa: F401
+from fcverify.catalog import diagnosis, preparation, verification  # noqa: F401
 from fcverify.catalog.base import ENTRIES
 
 __all__ = ["ENTRIES"]

@@ -187,9 +187,10 @@ def _resolve(s, d):
     return readers.resolve_columns(raw, {"station_name": ["station"], "horizon": ["h"], "flag": []}, {"comment": ["remark"]}, ["flag"])
 
 
+# The short aliases of the contract match by fragment: "t" finds Rel_Humidity and "p" finds wind_speed.
 @register(
     "harmonise_covariates",
-    "SELECT event_type AS dataset, ts, value AS wind_speed_ms, user_id::DOUBLE AS humidity_pct FROM events", "wind_speed_ms humidity_pct", "ts",
+    "SELECT event_type AS dataset, ts, value AS wind_speed_ms, user_id::DOUBLE AS humidity_pct, user_id::DOUBLE AS temp_c FROM events", "wind_speed_ms humidity_pct temp_c", "ts",
 )
 def _harmonise(s, d):
     raw = T.table(s, d, "events").select(
@@ -200,7 +201,8 @@ def _harmonise(s, d):
 
 @register(
     "covariate_coverage",
-    "SELECT 'wind_speed_ms' AS column_name, 100.0::DOUBLE * avg(CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END) AS coverage_pct FROM events",
+    "SELECT unnest(['wind_speed_ms', 'precip_mm']) AS column_name, coverage_pct FROM "
+    "(SELECT 100.0::DOUBLE * avg(CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END) AS coverage_pct FROM events)",
     "coverage_pct",
 )
 def _coverage(s, d):
@@ -393,7 +395,7 @@ register("rolling_origin_pairs", _rolled.format(step=3), None, "train_start trai
 
 
 def grid_lengths(s, d):
-    return series.series_lengths(series.densify(T.events_hourly(s, d)))
+    return splits.series_lengths(series.densify(T.events_hourly(s, d)))
 
 
 register(

@@ -183,12 +183,12 @@ def worst_case_findings(regime_skill: DataFrame, seasonal_skill: DataFrame | Non
     return found.withColumn("value", F.when(F.col("finding") == "max_skill_gap", -F.col("value")).otherwise(F.col("value")))
 
 
-def seasonal_rank(seasonal_skill: DataFrame) -> DataFrame:
-    """Rank of each season's skill_vp within (model, horizon), lowest first."""
+def seasonal_rank(seasonal_skill: DataFrame, keys: Sequence[str] = ("model", "horizon")) -> DataFrame:
+    """Rank of each season's skill_vp within the keys, lowest first."""
     rows = seasonal_skill.filter(
         ~F.col("insufficient_samples") & (F.col("scheme_name") == "warm_cold") & F.col("skill_vp").isNotNull()
     )
-    order = Window.partitionBy("model", "horizon").orderBy("skill_vp", "regime")
+    order = Window.partitionBy(*keys).orderBy("skill_vp", "regime")
     return rows.withColumn("rank", F.row_number().over(order))
 
 
