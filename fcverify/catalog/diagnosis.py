@@ -10,6 +10,7 @@ from fcverify.catalog import tables as T
 from fcverify.catalog.base import cte, register
 from fcverify.operators import decisions, events, metrics, quality, ranks, regimes, series, stattests, variance
 from fcverify.plans import hourly
+from fcverify.session import settle
 
 # ---- rankings -------------------------------------------------------------------
 
@@ -54,12 +55,12 @@ def ranked(s, d):
     """KGE table joined with skill and the station attributes, in the columns of the rankings."""
     from fcverify.sources.stations import station_dimension
 
-    diag = T.diagnostics(s, d)
+    diag = T.stored_diagnostics(s, d)
     skill = diag.skill.select("dataset", "model", F.col("horizon").alias("h"), F.col("skill").alias("Skill_h"))
     joined = diag.kge.drop("horizon").join(skill, ["dataset", "model", "h"])
-    return station_dimension(joined, T.stations(s, d)).select(
+    return settle(station_dimension(joined, T.stations(s, d)).select(
         "station", "h", "model", "Skill_h", "phi_h", "r_h", "KGE_h", "KGE_skill_h", "station_name", "station_type", "station_class"
-    )
+    ))
 
 
 register("rank_correlation", "SELECT * FROM pair_rho", "rho")(lambda s, d: ranks.rank_correlation(ranked(s, d)))
@@ -108,7 +109,7 @@ def _spearman_sql(keys: str) -> str:
 
 def cells_with_recall(s, d):
     """Summary and event scores only; significance is not needed for the correlations."""
-    diag = T.diagnostics(s, d)
+    diag = T.stored_diagnostics(s, d)
     return decisions.master_table(diag.summary, exceedance=diag.exceedance, types=diag.threshold_types)
 
 
@@ -226,7 +227,7 @@ def _auc(s, d):
 
 
 def _family(s, d):
-    diag = T.diagnostics(s, d)
+    diag = T.stored_diagnostics(s, d)
     return decisions.model_family_summary(
         decisions.master_table(diag.summary, diag.dm), diag.exceedance, diag.murphy, {"smooth": "contrast", "amplified": "contrast", "seasonal_naive": "naive"}
     )
@@ -260,7 +261,7 @@ _wide = [f"{m}_{t}" for m in decisions.EXCEEDANCE_METRICS for t in ("p75", "p90"
 register(
     "master_table", "SELECT * EXCLUDE (alpha_ci_low, alpha_ci_high) FROM master_cell",
     "skill mae_skill alpha skill_vp dm_pval_bh dm_stat bias_sq:4 cond_bias_sq:3 irreducible_sq:3 rho std_pred_ug:5 std_true_ug:5 " + " ".join(_wide),
-)(lambda s, d: T.diagnostics(s, d).master.drop("alpha_ci_low", "alpha_ci_high"))
+)(lambda s, d: T.stored_diagnostics(s, d).master.drop("alpha_ci_low", "alpha_ci_high"))
 register(
     "horizon_profiles",
     "SELECT model, horizon, avg(skill) AS mean, count(skill) AS n, median(skill) AS median, quantile_cont(skill, 0.02) AS low, quantile_cont(skill, 0.98) AS high FROM cell_summary GROUP BY model, horizon",
@@ -295,21 +296,22 @@ cte(
 )
 
 
-def master_rows(s, d):
-    grid = T.hourly_grid(s, d)
+def master_rows(s, d, grid=None):
+    grid = T.hourly_grid(s, d) if grid is None else grid
     bounds = hourly.fold_bounds(grid)
     made = hourly.positional(hourly.hourly_predictions(grid))
     limits = events.train_thresholds(grid, bounds, {"event_threshold": 0.75}, hourly.HORIZONS)
-    return regimes.prediction_master(made, grid.select("dataset", "pos", "ts", "y"), limits, T.covariates(s, d))
+    return regimes.prediction_master(settle(made), grid.select("dataset", "pos", "ts", "y"), limits, T.covariates(s, d))
 
 
-def covariate_grid(s, d):
-    grid = series.grid_position(series.densify(T.events_hourly(s, d))).select("dataset", "pos", "ts")
-    return regimes.align_covariates(grid, T.covariates(s, d))
+def covariate_grid(s, d, grid=None):
+    grid = series.grid_position(series.densify(T.events_hourly(s, d))) if grid is None else grid
+    return regimes.align_covariates(grid.select("dataset", "pos", "ts"), T.covariates(s, d))
 
 
 def regime_rows(s, d):
-    return regimes.physical_regimes(master_rows(s, d), covariate_grid(s, d), T.hourly_bounds(s, d))
+    grid = T.hourly_grid(s, d)
+    return regimes.physical_regimes(settle(master_rows(s, d, grid)), covariate_grid(s, d, grid), hourly.fold_bounds(grid))
 
 
 _master_columns = "dataset, fold, pos, horizon, model, y_pred, y_persist, y_true, origin_ts, target_ts, event_threshold, wind_speed_ms, origin_month, origin_hour, origin_season, warm_cold_season"
@@ -389,7 +391,8 @@ register(
 
 
 def _clusters(s, d, k=3):
-    return regimes.cluster_regimes(covariate_grid(s, d), T.hourly_bounds(s, d), range(5), k, ["wind_speed_ms", "humidity_pct", "temp_c"])
+    grid = T.hourly_grid(s, d)
+    return regimes.cluster_regimes(covariate_grid(s, d, grid), hourly.fold_bounds(grid), range(5), k, ["wind_speed_ms", "humidity_pct", "temp_c"])
 
 
 register("cluster_regimes")(lambda s, d: _clusters(s, d)[0])

@@ -470,6 +470,11 @@ def _train_mean(train, values, origins, horizons):
     return np.full((len(origins), len(horizons)), seen.mean())
 
 
+def _grouped(s, d, forecaster):
+    grid = T.hourly_grid(s, d)
+    return forecast.grouped_forecast(grid, hourly.fold_bounds(grid), hourly.HORIZONS, forecaster)
+
+
 register(
     "grouped_forecast",
     "SELECT g.dataset, CAST(b.fold AS INTEGER) AS fold, g.pos, h.horizon, m.m AS y_pred FROM hour_grid g CROSS JOIN hourly_horizon h JOIN rolling_bound b "
@@ -477,7 +482,7 @@ register(
     "JOIN (SELECT b.dataset, b.fold, avg(f.y_causal) AS m FROM rolling_bound b JOIN hour_fill f ON f.dataset = b.dataset AND f.pos < b.train_end GROUP BY ALL) m "
     "ON m.dataset = g.dataset AND m.fold = b.fold",
     "y_pred",
-)(lambda s, d: forecast.grouped_forecast(T.hourly_grid(s, d), T.hourly_bounds(s, d), hourly.HORIZONS, _train_mean).drop("error"))
+)(lambda s, d: _grouped(s, d, _train_mean).drop("error"))
 register("seasonal_ar_forecast", None, "y_pred")(
-    lambda s, d: forecast.grouped_forecast(T.hourly_grid(s, d), T.hourly_bounds(s, d), hourly.HORIZONS, forecast.seasonal_ar(24))
+    lambda s, d: _grouped(s, d, forecast.seasonal_ar(24))
 )

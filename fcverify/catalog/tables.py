@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fcverify.catalog.base import cte
 from fcverify.operators import decisions
 from fcverify.plans import daily, hourly
+from fcverify.session import settle
 from fcverify.sources.readers import read_series
 from fcverify.sources.stations import station_dimension
 
@@ -86,8 +87,13 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> daily.DailyDiagnostics:
     return daily.DailyDiagnostics(predictions(spark, sf_dir), fixed=(("abs_50", FIXED),))
 
 
+def stored_diagnostics(spark: SparkSession, sf_dir: str) -> daily.DailyDiagnostics:
+    """For queries that read the predictions several times: they are written out once."""
+    return daily.DailyDiagnostics(settle(predictions(spark, sf_dir)), fixed=(("abs_50", FIXED),))
+
+
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return station_dimension(diagnostics(spark, sf_dir).master, stations(spark, sf_dir))
+    return settle(station_dimension(stored_diagnostics(spark, sf_dir).master, stations(spark, sf_dir)))
 
 
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fcverify.functions.scan import CHUNK, chunk_id
+from fcverify.session import settle
 
 
 def _chunk_percentiles(index: str, levels: Mapping[str, float], keys: Sequence[str]):
@@ -61,11 +62,13 @@ def expanding_percentile(
     only the earlier values whose rank lies near the wanted one can be selected
     inside the chunk. A histogram over sketch quantiles finds them: each chunk
     receives those values and the number of values below them, and no task holds
-    a whole history.
+    a whole history. The input (one row per key and index) is written out once.
     """
     keys, names = list(keys), list(levels)
-    rows = df.select(*keys, F.col(index).cast("long").alias(index), F.col(value).cast("double").alias("__v")).withColumn(
-        "__chunk", chunk_id(F.col(index), chunk)
+    rows = settle(
+        df.select(*keys, F.col(index).cast("long").alias(index), F.col(value).cast("double").alias("__v")).withColumn(
+            "__chunk", chunk_id(F.col(index), chunk)
+        )
     )
     cuts = rows.groupBy(*keys).agg(
         F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("__cuts")

@@ -88,8 +88,8 @@ def metric_percentiles(
     )
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, buckets: int = 256) -> DataFrame:
-    """Ascending average-tie rank over arbitrarily large groups.
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, buckets: int = 256) -> DataFrame:
+    """Table ``keys, value, name`` of ascending average-tie ranks over arbitrarily large groups.
 
     Values are counted, cut into buckets at sketch quantiles and ranked by a
     chunked running sum, so a large group is spread over ``buckets`` tasks.
@@ -100,7 +100,6 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, buck
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, levels, 10 * buckets).alias("__cuts"))
     cut = counts.join(cuts, keys) if keys else counts.crossJoin(cuts)
     placed = cut.withColumn("__bucket", F.size(F.filter("__cuts", lambda e: e < F.col(value)))).drop("__cuts")
-    ranked = running(
+    return running(
         placed, keys, [value], sums={"__upto": F.col("__c")}, chunk_column=F.col("__bucket")
     ).select(*keys, value, (F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(name))
-    return df.join(ranked, [*keys, value])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fcverify.functions import expr as X
 from fcverify.functions.quantiles import grouped_percentile, metric_percentiles
 from fcverify.operators.splits import training_rows
+from fcverify.session import settle
 
 MIN_SAMPLES, MIN_EVENTS = 40, 5
 WIND_NAMES = ("wind_speed_ms", "wind_speed", "vv")
@@ -131,6 +132,7 @@ def cluster_regimes(
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     spark = covariates.sparkSession
+    covariates = settle(covariates)
     names = list(columns) if columns is not None else [c for c in CLUSTER_COLUMNS if c in covariates.columns]
     label = f"cluster_k{k}_regime"
     labelled, centres = [], []

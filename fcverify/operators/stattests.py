@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fcverify.functions import expr as X
-from fcverify.functions.quantiles import average_rank, metric_percentiles
+from fcverify.functions.quantiles import metric_percentiles, value_ranks
 from fcverify.functions.scan import CHUNK, bounded_window, running
 from fcverify.functions.special import student_t_two_sided
 from fcverify.operators.metrics import CELL, with_baseline
 from fcverify.operators.series import day_index
+from fcverify.session import settle
 
 
 def autocovariance_sums(
@@ -237,7 +238,8 @@ def metric_quantile_summary(kge: DataFrame, metrics: Sequence[str] = KGE_METRICS
 def spearman(df: DataFrame, pairs: Mapping[str, tuple[str, str]], keys: Sequence[str] = (), min_n: int = 1) -> DataFrame:
     """Rank correlation with average ties per named pair of columns (and per key), with its p-value.
 
-    Ranks come from counted values, not from a global sort in one task.
+    Ranks come from counted values, not from a global sort in one task. The pairs are
+    written out once because both rankings read them several times.
     """
     keys = list(keys)
     fan = F.array(
@@ -248,7 +250,8 @@ def spearman(df: DataFrame, pairs: Mapping[str, tuple[str, str]], keys: Sequence
     )
     long = df.select(*keys, F.explode(fan).alias("p")).select(*keys, "p.*").filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     group = [*keys, "comparison"]
-    ranked = average_rank(average_rank(long, group, "a", "ra"), group, "b", "rb")
+    long = settle(long)
+    ranked = long.join(value_ranks(long, group, "a", "ra"), [*group, "a"]).join(value_ranks(long, group, "b", "rb"), [*group, "b"])
     sums = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.covar_pop("ra", "rb").alias("__c"), F.stddev_pop("ra").alias("__sa"), F.stddev_pop("rb").alias("__sb"),

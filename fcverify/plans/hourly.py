@@ -7,18 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fcverify.functions import expr as X
 from fcverify.functions.scan import CHUNK, running
 from fcverify.operators import events, forecast, series, splits
+from fcverify.session import settle
 
 HORIZONS = (1, 6, 24, 48)
 
 
 def prepared(hourly: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Dense grid with position, causal fill and the running mean of observations."""
+    """Dense grid with position, causal fill and the running mean of observations.
+
+    Written out once: bounds, thresholds, targets and covariates all read it.
+    """
     grid = series.grid_position(series.densify(hourly))
     seen = F.when(F.col("y").isNotNull(), F.lit(1))
     grown = running(grid, series.KEYS, ["idx"], sums={"__s": F.col("y"), "__c": seen}, lasts={"y_causal": F.col("y")}, chunk=chunk)
-    return grown.withColumn("mean_y", F.col("__s") / F.col("__c")).drop("__s", "__c")
+    return settle(grown.withColumn("mean_y", X.divide("__s", "__c")).drop("__s", "__c"))
 
 
 def lengths(grid: DataFrame) -> DataFrame:

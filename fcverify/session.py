@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -36,3 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(CHECKPOINT_KEY, made)
     return made
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read to the shared folder and cut its lineage.
+
+    For tables that are small next to the input they come from (series, cells): every
+    further use reads the written copy, also after an executor is lost.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
