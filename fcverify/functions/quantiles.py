@@ -11,7 +11,9 @@ from fcverify.functions.scan import running
 
 ACCURACY = 100_000
 MARGIN = 5e-5
+# The margin must span a few ranks of every group that takes the sketch path.
 SMALL = 100_000
+SMALLEST = 60_000
 
 
 def grouped_percentile(
@@ -28,6 +30,8 @@ def grouped_percentile(
     the wanted order statistics, and count the values below it, so no task ever
     gathers a whole large group. Smaller groups keep all their values.
     """
+    if small < SMALLEST:
+        raise ValueError(f"small must be at least {SMALLEST}")
     keys = list(keys)
     names = list(levels)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
@@ -55,9 +59,12 @@ def grouped_percentile(
         k = F.floor(at)
         r = (k - F.col(f"__b_{n}")).cast("int")
         values = F.col(f"__a_{n}")
-        low = F.try_element_at(values, r + 1)
-        high = F.coalesce(F.try_element_at(values, r + 2), low)
-        out.append((low + (high - low) * (at - k)).alias(n))
+        inside = (r >= 0) & (r + F.when(at > k, 1).otherwise(0) < F.size(values))
+        at_rank = F.greatest(r, F.lit(0))
+        low = F.try_element_at(values, at_rank + 1)
+        high = F.coalesce(F.try_element_at(values, at_rank + 2), low)
+        missed = F.raise_error(F.lit("percentile bracket missed its order statistic")).cast("double")
+        out.append(F.when(inside, low + (high - low) * (at - k)).otherwise(missed).alias(n))
     return gathered.select(*keys, *out)
 
 
