@@ -193,6 +193,10 @@ _disc = "rule_a AND recall_p75 >= 0.2 AND alpha < 0.5"
 register(
     "discordant_cells", f"SELECT dataset, model, horizon, skill, alpha, recall_p75 FROM rule_cell WHERE {_disc}", "skill alpha recall_p75",
 )(lambda s, d: decisions.discordant_cells(T.ruled(s, d)).select("dataset", "model", "horizon", "skill", "alpha", "recall_p75"))
+register(
+    "discordant_cells_any_recall",
+    "SELECT dataset, model, horizon, skill, alpha, recall_p75 FROM rule_cell WHERE rule_a AND recall_p75 >= 0 AND alpha < 0.5", "skill alpha recall_p75",
+)(lambda s, d: decisions.discordant_cells(T.ruled(s, d), recall_min=0.0).select("dataset", "model", "horizon", "skill", "alpha", "recall_p75"))
 register(
     "discordant_summary",
     _stack_sql(
@@ -222,8 +226,11 @@ register(
 
 @register("incremental_auc", None, "auc_without_alpha auc_with_alpha delta_auc")
 def _auc(s, d):
-    """The rule thresholds are raised so that both outcomes occur among the cells."""
-    return decisions.incremental_auc(decisions.decision_rules(T.master(s, d), 1.0, 0.4), min_rows=10)
+    """Thresholds at the medians of the rule A cells, so that both outcomes occur among them."""
+    cells = T.master(s, d)
+    passing = decisions.decision_rules(cells).filter("rule_a")
+    level = passing.agg(F.percentile("alpha", F.lit(0.5)).alias("a")).first()["a"]
+    return decisions.incremental_auc(decisions.decision_rules(cells, level or 0.0, 0.0), min_rows=10)
 
 
 def _family(s, d):

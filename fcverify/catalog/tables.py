@@ -80,7 +80,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily.naive_predictions(ship_daily(spark, sf_dir))
+    return daily.naive_predictions(settle(ship_daily(spark, sf_dir)))
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> daily.DailyDiagnostics:
@@ -89,7 +89,7 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> daily.DailyDiagnostics:
 
 def stored_diagnostics(spark: SparkSession, sf_dir: str) -> daily.DailyDiagnostics:
     """For queries that read the predictions several times: they are written out once."""
-    return daily.DailyDiagnostics(settle(predictions(spark, sf_dir)), fixed=(("abs_50", FIXED),))
+    return daily.DailyDiagnostics(settle(predictions(spark, sf_dir)), fixed=(("abs_50", FIXED),), shared=True)
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,9 +94,12 @@ def loss_differences(predictions: DataFrame, baseline: str = "persistence") -> D
     )
 
 
-def dm_statistics(predictions: DataFrame, baseline: str = "persistence", max_horizon: int = 7, chunk: int = CHUNK) -> DataFrame:
-    """``n_pairs, dm_stat, n_finite`` per cell; truths that differ between model and baseline raise."""
-    losses = loss_differences(predictions, baseline).withColumn("__i", day_index("date"))
+def dm_statistics(matched: DataFrame, max_horizon: int = 7, chunk: int = CHUNK) -> DataFrame:
+    """``n_pairs, dm_stat, n_finite`` per cell from ``loss_differences``; differing truths raise.
+
+    Counts, means and lags each read the rows, so give a stored table here.
+    """
+    losses = matched.withColumn("__i", day_index("date"))
     pairs = losses.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("truth_differs").alias("__bad"))
     checked = pairs.withColumn(
         "n_pairs",
@@ -108,9 +111,21 @@ def dm_statistics(predictions: DataFrame, baseline: str = "persistence", max_hor
 
 
 def dm_table(
-    predictions: DataFrame, baseline: str = "persistence", max_horizon: int = 7, level: float = 0.05, chunk: int = CHUNK
+    predictions: DataFrame,
+    baseline: str = "persistence",
+    max_horizon: int = 7,
+    level: float = 0.05,
+    chunk: int = CHUNK,
+    matched: DataFrame | None = None,
 ) -> DataFrame:
-    stats = dm_statistics(predictions, baseline, max_horizon, chunk)
+    """Test per cell with p-values adjusted within each dataset.
+
+    The join with the baseline is the costly shuffle; its narrow result is written out
+    once. ``matched`` passes an already stored one.
+    """
+    if matched is None:
+        matched = settle(loss_differences(predictions, baseline).select(*CELL, "date", "loss_diff", "truth_differs"))
+    stats = dm_statistics(matched, max_horizon, chunk)
     p = student_t_two_sided(F.col("dm_stat"), (F.col("n_finite") - 1).cast("double"))
     tested = stats.withColumn("dm_pval_raw", p).drop("n_finite")
     return bh_adjust(tested, "dm_pval_raw", "dm_pval_bh").withColumn("dm_significant", X.truth(F.col("dm_pval_bh") < level))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fcverify.functions.scan import CHUNK
 from fcverify.operators import decisions, events, forecast, metrics, stattests, variance
+from fcverify.session import settle
 
 
 def naive_predictions(
@@ -32,21 +33,32 @@ def naive_predictions(
 
 @dataclass
 class DailyDiagnostics:
-    """All cell tables of one predictions table, each a lazy DataFrame."""
+    """All cell tables of one predictions table, each a lazy DataFrame.
+
+    ``shared`` writes the baseline join out once for all tables that need it; leave it
+    off when only one of them is used.
+    """
 
     predictions: DataFrame
     baseline: str = "persistence"
     levels: tuple[tuple[str, float], ...] = (("p75", 0.75), ("p90", 0.90))
     fixed: tuple[tuple[str, float], ...] = (("abs_50", 50.0),)
     chunk: int = CHUNK
+    shared: bool = False
 
     @property
     def threshold_types(self) -> list[str]:
         return [n for n, _ in (*self.levels, *self.fixed)]
 
+    @cached_property
+    def matched(self) -> DataFrame:
+        """Model rows with their baseline, joined and written out once for skill and significance."""
+        rows = stattests.loss_differences(self.predictions, self.baseline)
+        return settle(rows.select(*metrics.CELL, "date", "y_true", "y_pred", "y_base", "loss_diff", "truth_differs"))
+
     @cached_property
     def skill(self) -> DataFrame:
-        return metrics.skill_matched(self.predictions, self.baseline)
+        return metrics.skill_of_matched(self.matched) if self.shared else metrics.skill_matched(self.predictions, self.baseline)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -54,7 +66,7 @@ class DailyDiagnostics:
 
     @cached_property
     def dm(self) -> DataFrame:
-        return stattests.dm_table(self.predictions, self.baseline, chunk=self.chunk)
+        return stattests.dm_table(self.predictions, self.baseline, chunk=self.chunk, matched=self.matched if self.shared else None)
 
     @cached_property
     def murphy(self) -> DataFrame:
