@@ -155,9 +155,7 @@ def _read_union(s, d):
         T.table(s, d, name).select(F.col(f"{prefix}_{name}key").alias("key"), F.col(f"{prefix}_name").alias("name"), F.lit(label).alias("part")).write.mode(
             "overwrite"
         ).parquet(f"{base}/{label}")
-    # folder listing by glob, the excluded table removed by its path
-    whole = s.read.parquet(f"{base}/*")
-    return whole.filter(~F.col("_metadata.file_path").contains("/skip/")).select("key", "name")
+    return readers.read_union(s, f"{base}/*", exclude_names=["skip"]).select("key", "name")
 
 
 register("require_columns", "SELECT dataset, date, y FROM ship", "y", "date")(
@@ -366,19 +364,18 @@ register(
 
 @register(
     "asof_join",
-    "SELECT o.o_orderkey, h.dataset, CAST(h.ts AS VARCHAR) AS seen_at, h.y FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01' + (o_orderkey % 700) * INTERVAL 1 HOUR AS ts FROM orders) o "
-    "CROSS JOIN (SELECT DISTINCT dataset FROM event_hour) e ASOF LEFT JOIN event_hour h ON h.dataset = e.dataset AND h.ts <= o.ts WHERE h.dataset IS NOT NULL",
+    "SELECT e.event_id, e.dataset, CAST(h.ts AS VARCHAR) AS seen_at, h.y FROM (SELECT event_id, event_type AS dataset, "
+    "date_trunc('hour', ts)::TIMESTAMP - (1 + event_id % 5) * INTERVAL 1 HOUR AS ts FROM events) e "
+    "ASOF LEFT JOIN event_hour h ON h.dataset = e.dataset AND h.ts <= e.ts",
     "y",
 )
 def _asof(s, d):
-    base = T.events_hourly(s, d)
-    right = series.with_index(base).withColumn("seen_at", F.col("ts").cast("string"))
-    start = 473352  # 2024-01-01 00:00 as an hour number
-    left = T.table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 700 + start).alias("at")).join(
-        base.select("dataset").distinct(), F.lit(True)
+    """For every event the latest hourly value known one to five hours earlier."""
+    right = series.with_index(T.events_hourly(s, d)).withColumn("seen_at", F.col("ts").cast("string"))
+    left = T.table(s, d, "events").select(
+        F.col("event_type").alias("dataset"), "event_id", (series.hour_index("ts") - 1 - F.col("event_id") % 5).alias("at")
     )
-    found = asof_join(left, right, ["dataset"], "at", "idx", ["seen_at", "y"])
-    return found.filter(F.col("seen_at").isNotNull()).select("o_orderkey", "dataset", "seen_at", "y")
+    return asof_join(left, right, ["dataset"], "at", "idx", ["seen_at", "y"]).select("event_id", "dataset", "seen_at", "y")
 
 
 # ---- splits ------------------------------------------------------------------

@@ -34,13 +34,15 @@ def grouped_percentile(
         raise ValueError(f"small must be at least {SMALLEST}")
     keys = list(keys)
     names = list(levels)
+    if not keys:
+        raise ValueError("give at least one key; use a constant column for the whole table")
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     edges = [e for n in names for e in (max(0.0, levels[n] - MARGIN), min(1.0, levels[n] + MARGIN))]
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
         F.percentile_approx("__v", [float(e) for e in edges], ACCURACY).alias("__e"),
     )
-    joined = rows.join(sketch, keys) if keys else rows.crossJoin(sketch)
+    joined = rows.join(sketch, keys)
     whole = F.col("__n") <= F.lit(small)
     lo = {n: F.when(whole, F.lit(float("-inf"))).otherwise(F.col("__e")[2 * i]) for i, n in enumerate(names)}
     hi = {n: F.when(whole, F.lit(float("inf"))).otherwise(F.col("__e")[2 * i + 1]) for i, n in enumerate(names)}
@@ -105,8 +107,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, bucke
     levels = [i / buckets for i in range(1, buckets)]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, levels, 10 * buckets).alias("__cuts"))
-    cut = counts.join(cuts, keys) if keys else counts.crossJoin(cuts)
-    placed = cut.withColumn("__bucket", F.size(F.filter("__cuts", lambda e: e < F.col(value)))).drop("__cuts")
+    placed = counts.join(cuts, keys).withColumn("__bucket", F.size(F.filter("__cuts", lambda e: e < F.col(value)))).drop("__cuts")
     return running(
         placed, keys, [value], sums={"__upto": F.col("__c")}, chunk_column=F.col("__bucket")
     ).select(*keys, value, (F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(name))

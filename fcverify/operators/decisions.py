@@ -126,7 +126,7 @@ def discordant_summary(
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Count, mean, SD, quartiles and range of a column as one row."""
+    """Count, mean, SD, quartiles and range of a column of a cell table as one row."""
     quart = grouped_percentile(df.withColumn("__one", F.lit(1)), ["__one"], column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     base = df.agg(
         F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),

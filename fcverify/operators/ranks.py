@@ -131,7 +131,7 @@ def complementarity_rule(ranks: DataFrame, cutoff: float = 0.8, min_rate: float
         F.count_if("top_skill_differs_from_top_kge").alias("mismatch_count"),
     )
     # both sides are single rows
-    one = medians.crossJoin(rates)
+    one = medians.withColumn("__one", F.lit(1)).join(F.broadcast(rates.withColumn("__one", F.lit(1))), "__one").drop("__one")
     return one.withColumn(
         "complementary",
         X.truth(F.col("skill_vs_kge_median") < cutoff)

@@ -49,6 +49,8 @@ def variance_retention_summary(predictions: DataFrame, skill: DataFrame, ci: Dat
     return add_flags(cells.join(extra.select(*CELL, "skill", "mae_skill"), CELL)).select(*SUMMARY_COLUMNS)
 
 
+EXACT_ROWS = 1_000_000
+
 # ---- bootstrap -------------------------------------------------------------
 
 # Cumulative Poisson(1) probabilities.
@@ -152,6 +154,8 @@ def _exact_bootstrap(predictions, n_boot, ci, seed, row_key):
     lo, hi = (1 - ci) / 2 * 100, (1 + ci) / 2 * 100
 
     def one(cell: pd.DataFrame) -> pd.DataFrame:
+        if len(cell) > EXACT_ROWS:
+            raise ValueError(f"exact mode holds a cell in one task: {len(cell)} rows, use mode='poisson'")
         cell = cell.sort_values([c for c in row_key if c in cell.columns])
         t, p = cell["y_true"].to_numpy(float), cell["y_pred"].to_numpy(float)
         draw = np.random.default_rng(seed)

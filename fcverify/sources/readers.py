@@ -265,14 +265,14 @@ def union_tables(tables: Sequence[DataFrame]) -> DataFrame:
 
 
 def read_union(spark: SparkSession, pattern: str, exclude_prefixes: Sequence[str] = (), exclude_names: Sequence[str] = ()) -> DataFrame:
-    """All Parquet files below a glob except those whose file name is excluded; one scan."""
+    """All Parquet tables of a glob except those with an excluded file or folder name; one scan."""
     df = spark.read.parquet(pattern)
-    name = F.col("_metadata.file_name")
+    parts = F.split(F.col("_metadata.file_path"), "/")
     keep = F.lit(True)
     for prefix in exclude_prefixes:
-        keep = keep & ~name.startswith(prefix)
+        keep = keep & ~F.exists(parts, lambda p, prefix=prefix: p.startswith(prefix))
     if exclude_names:
-        keep = keep & ~name.isin(*exclude_names)
+        keep = keep & ~F.exists(parts, lambda p: p.isin(*exclude_names))
     return df.filter(keep)
 
 
@@ -322,4 +322,5 @@ def model_roles(df: DataFrame, preferred: Sequence[str] = ("hgb_direct", "ridge_
         bad = F.col("seasonal_model").isNull() | ((F.col("n_preferred") < 2) & (F.col("n_direct") == 0))
         role = F.when(bad, F.raise_error(F.lit("model roles could not be identified")).cast("string")).otherwise(role)
     # one row of counts against the list of model names
-    return flagged.crossJoin(counts).select("model", role.alias("role"))
+    one = F.broadcast(counts.withColumn("__one", F.lit(1)))
+    return flagged.withColumn("__one", F.lit(1)).join(one, "__one").select("model", role.alias("role"))
