@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fcverify.catalog.base import cte
 from fcverify.operators import decisions
+from fcverify.operators.series import truncate_hour
 from fcverify.plans import daily, hourly
 from fcverify.session import settle
 from fcverify.sources.readers import read_series
@@ -42,7 +43,7 @@ def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
-    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    hour = truncate_hour("ts")
     return rows.groupBy(F.col("event_type").alias("dataset"), hour.alias("ts")).agg(
         (F.sum(F.round(F.col("value") * 100).cast("long")) / 100.0 / F.count(F.lit(1))).alias("y")
     )
@@ -51,7 +52,7 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly covariates per event type: number of events, distinct users and the largest value."""
     rows = table(spark, sf_dir, "events")
-    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    hour = truncate_hour("ts")
     return rows.groupBy(F.col("event_type").alias("dataset"), hour.alias("ts")).agg(
         F.count(F.lit(1)).cast("double").alias("wind_speed_ms"),
         F.max("value").alias("humidity_pct"),

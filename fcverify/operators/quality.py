@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fcverify.functions import expr as X
+from fcverify.operators.series import hour_index
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None, warn_pct: float = 10.0) -> DataFrame:
@@ -64,7 +65,7 @@ def reconcile(
 
 def lead_time_check(predictions: DataFrame, threshold: str = "p75_train") -> DataFrame:
     """Rows whose lead is not the horizon, and thresholds per fold (one expected)."""
-    lead = F.expr("timestampdiff(HOUR, origin_time, target_time)")
+    lead = hour_index("target_time") - hour_index("origin_time")
     return predictions.groupBy("dataset", "fold").agg(
         F.count_if(lead != F.col("horizon")).alias("wrong_lead"), F.countDistinct(threshold).alias("n_thresholds")
     )

@@ -136,17 +136,22 @@ def cluster_regimes(
     names = list(columns) if columns is not None else [c for c in CLUSTER_COLUMNS if c in covariates.columns]
     label = f"cluster_k{k}_regime"
     labelled, centres = [], []
+    # one row of counts and quantiles per fold
+    pooled = training_rows(covariates, bounds).select("fold", *names)
+    sizes_of = {r["fold"]: r for r in pooled.groupBy("fold").agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in names]).collect()}
+    levels = {"median": 0.5, "q33": 0.33, "q67": 0.67}
+    marks_of = {r["fold"]: r for r in metric_percentiles(pooled, ["fold"], names, levels).collect()}
     for fold in folds:
         own = bounds.filter(F.col("fold") == fold).select("dataset", "train_end", "test_end")
         rows = covariates.join(own, "dataset")
         train = rows.filter(F.col("pos") < F.col("train_end"))
         test = rows.filter((F.col("pos") >= F.col("train_end")) & (F.col("pos") < F.col("test_end")))
-        sizes = train.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in names]).first()
-        usable = [c for c in names if sizes[c] > k]
+        sizes = sizes_of.get(fold)
+        usable = [] if sizes is None else [c for c in names if sizes[c] > k]
         if not usable or sizes["__n"] < max(10 * k, k + 1):
             labelled.append(test.select("dataset", "pos", F.lit(fold).alias("fold"), F.lit("unavailable").alias(label)))
             continue
-        marks = metric_percentiles(train.withColumn("__g", F.lit(1)), ["__g"], usable, {"median": 0.5, "q33": 0.33, "q67": 0.67}).first()
+        marks = marks_of[fold]
         fill = {c: marks[f"{c}_median"] for c in usable}
         doubles = [F.col(c).cast("double").alias(c) for c in usable]
         assemble = VectorAssembler(inputCols=usable, outputCol="__v")

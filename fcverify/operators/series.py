@@ -24,7 +24,12 @@ def day_index(c: Column | str) -> Column:
 
 
 def hour_index(c: str) -> Column:
-    return F.expr(f"timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', {c})").cast("long")
+    """Hours since 1970 from calendar parts, so that no time zone rule applies."""
+    return day_index(F.col(c).cast("date")) * 24 + F.hour(c)
+
+
+def truncate_hour(c: str) -> Column:
+    return F.col(c).cast("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(c))
 
 
 def time_column(df: DataFrame) -> str:
