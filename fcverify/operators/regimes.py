@@ -132,7 +132,7 @@ def cluster_regimes(
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     spark = covariates.sparkSession
-    covariates = settle(covariates)
+    covariates, bounds = settle(covariates), settle(bounds)
     names = list(columns) if columns is not None else [c for c in CLUSTER_COLUMNS if c in covariates.columns]
     label = f"cluster_k{k}_regime"
     labelled, centres = [], []
@@ -155,9 +155,10 @@ def cluster_regimes(
         fill = {c: marks[f"{c}_median"] for c in usable}
         doubles = [F.col(c).cast("double").alias(c) for c in usable]
         assemble = VectorAssembler(inputCols=usable, outputCol="__v")
-        ready = assemble.transform(train.select("dataset", "pos", *doubles).fillna(fill))
+        ready = assemble.transform(train.select("dataset", "pos", *doubles).fillna(fill)).persist()
         scaler = StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True).fit(ready)
         model = KMeans(featuresCol="__z", predictionCol="__id", k=k, seed=seed, maxIter=max_iter).fit(scaler.transform(ready))
+        ready.unpersist()
         found = model.transform(scaler.transform(assemble.transform(test.select("dataset", "pos", *doubles).fillna(fill))))
         rows_of_centres = [
             (fold, i, *[float(z * s + m) for z, s, m in zip(centre, scaler.std.toArray(), scaler.mean.toArray())])
