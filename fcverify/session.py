@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fcverify.shipping import ship
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -23,7 +25,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
