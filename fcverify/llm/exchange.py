@@ -53,78 +53,94 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel().astype(U64), dtype=U64)
 
 
-def distinct(keys: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, their second part, whether each occurs again, and the place of every input key."""
-    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
-    k = keys[order]
-    m = None if more is None else more[order]
-    new = np.ones(len(k), dtype=bool)
-    if len(k) > 1:
-        new[1:] = k[1:] != k[:-1]
-        if m is not None:
-            new[1:] |= m[1:] != m[:-1]
-    place = np.empty(len(k), dtype=np.int64)
+Parts = list[np.ndarray]
+
+
+def same_as_before(parts: Parts) -> np.ndarray:
+    """Of sorted keys, which equal the one before."""
+    same = np.ones(len(parts[0]), dtype=bool)
+    same[:1] = False
+    for p in parts:
+        same[1:] &= p[1:] == p[:-1]
+    return same
+
+
+def multikey_order(parts: Parts) -> np.ndarray:
+    """Multikey sort: by the first part, then only the runs of ties by the following parts."""
+    order = np.argsort(parts[0], kind="quicksort")
+    if len(parts) > 1 and len(order) > 1:
+        first = parts[0][order]
+        tie = np.zeros(len(first), dtype=bool)
+        tie[1:] = first[1:] == first[:-1]
+        tie[:-1] |= tie[1:]
+        at = np.flatnonzero(tie)
+        inner = order[at]
+        order[at] = inner[np.lexsort([p[inner] for p in reversed(parts)])]
+    return order
+
+
+def distinct(parts: Parts) -> tuple[Parts, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, whether each occurs again, and the place of every input key."""
+    order = multikey_order(parts)
+    ordered = [p[order] for p in parts]
+    new = ~same_as_before(ordered)
+    place = np.empty(len(order), dtype=np.int64)
     place[order] = np.cumsum(new) - 1
     at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(k)))
-    return k[at], None if m is None else m[at], counts > 1, place
+    return [p[at] for p in ordered], np.diff(np.append(at, len(order))) > 1, place
 
 
-def send(chunk: int, stage: int, keys: np.ndarray, more: np.ndarray | None, multi: np.ndarray, block: np.ndarray) -> pa.Table:
-    """One row per block from sorted distinct keys; ``block`` is non-decreasing along them."""
-    at = np.flatnonzero(np.diff(block, prepend=-1)) if len(block) else np.zeros(0, dtype=np.int64)
+def send(chunk: int, stage: int, parts: Parts, multi: np.ndarray, block: np.ndarray) -> pa.Table:
+    """One row per block from sorted distinct keys; ``block`` does not decrease along them."""
+    at = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
     rows = []
-    for a, b in zip(at, [*at[1:], len(keys)], strict=True):
-        rows.append((int(block[a]), chunk, stage, int(b - a), pack(keys[a:b]),
-                     b"" if more is None else more[a:b].tobytes(), np.packbits(multi[a:b]).tobytes()))
-    return pa.Table.from_pylist([dict(zip(KEYS_PA.names, r, strict=True)) for r in rows], schema=KEYS_PA)
-
-
-def multikey_order(keys: np.ndarray, more: np.ndarray | None) -> np.ndarray:
-    """Multikey sort: by the first part, then only the runs of ties by the next part."""
-    order = np.argsort(keys, kind="quicksort")
-    if more is None or len(keys) < 2:
-        return order
-    k = keys[order]
-    tie = np.zeros(len(k), dtype=bool)
-    same = k[1:] == k[:-1]
-    tie[1:] |= same
-    tie[:-1] |= same
-    at = np.flatnonzero(tie)
-    inner = order[at]
-    order[at] = inner[np.lexsort((more[inner], keys[inner]))]
-    return order
+    for a, b in zip(at, [*at[1:], len(block)], strict=True) if at else ():
+        rows.append({"block": int(block[a]), "chunk": chunk, "stage": stage, "n": b - a, "keys": pack(parts[0][a:b]),
+                     "more": b"".join(p[a:b].tobytes() for p in parts[1:]), "multi": np.packbits(multi[a:b]).tobytes()})
+    return pa.Table.from_pylist(rows, schema=KEYS_PA)
 
 
-def answer(more_type: str | None) -> Callable[[pa.Table], pa.Table]:
-    """Block task: the bit of every key sent that occurs again, in its chunk or in another."""
+def repeated_keys(parts: Parts, multi: np.ndarray, stage: int) -> dict[int, np.ndarray]:
+    """Rule: of sorted keys, those sent twice or flagged by their chunk."""
+    same = same_as_before(parts)
+    found = same | multi
+    found[:-1] |= same[1:]
+    return {stage: found}
+
+
+def answer(dtypes: tuple[str, ...], rule: Callable[[Parts, np.ndarray, int], dict[int, np.ndarray]] = repeated_keys) -> Callable[[pa.Table], pa.Table]:
+    """Block task: sort the keys of all chunks, apply the rule, return each chunk the bits of its keys."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = np.concatenate([unpack(r["keys"], r["n"]) for r in rows])
-        more = None if more_type is None else np.concatenate([np.frombuffer(r["more"], dtype=more_type) for r in rows])
-        hit = np.concatenate([np.unpackbits(np.frombuffer(r["multi"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
-        order = multikey_order(keys, more)
-        k = keys[order]
-        same = k[1:] == k[:-1]
-        if more is not None:
-            same &= more[order[1:]] == more[order[:-1]]
-        found = hit[order]
-        found[1:] |= same
-        found[:-1] |= same
-        bits = np.empty(len(found), dtype=bool)
-        bits[order] = found
-        out, at = [], 0
-        for r in rows:
-            own = bits[at:at + r["n"]]
-            at += r["n"]
-            if own.any():
-                out.append({"chunk": r["chunk"], "stage": r["stage"], "block": r["block"], "bits": np.packbits(own).tobytes()})
+        parts = [np.concatenate([unpack(r["keys"], r["n"]) for r in rows])]
+        split = [_columns(r["more"], r["n"], dtypes) for r in rows]
+        parts += [np.concatenate(c) for c in zip(*split, strict=True)]
+        multi = np.concatenate([np.unpackbits(np.frombuffer(r["multi"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
+        order = multikey_order(parts)
+        out = []
+        for stage, found in rule([p[order] for p in parts], multi[order], rows[0]["stage"]).items():
+            bits = np.empty(len(found), dtype=bool)
+            bits[order] = found
+            at = 0
+            for r in rows:
+                own = bits[at:at + r["n"]]
+                at += r["n"]
+                if own.any():
+                    out.append({"chunk": r["chunk"], "stage": stage, "block": r["block"], "bits": np.packbits(own).tobytes()})
         return pa.Table.from_pylist(out, schema=REPLY_PA)
 
     return run
 
 
+def _columns(data: bytes, n: int, dtypes: tuple[str, ...]) -> Parts:
+    out, at = [], 0
+    for t in dtypes:
+        out.append(np.frombuffer(data, dtype=t, count=n, offset=at))
+        at += n * np.dtype(t).itemsize
+    return out
+
+
 def found_bits(replies: Iterable[dict], stage: int, block: np.ndarray) -> np.ndarray:
     """Bit of each sorted distinct key of a stage, from the answers of its blocks."""
     bits = np.zeros(len(block), dtype=bool)

@@ -44,19 +44,14 @@ def _chunk_windows(column: pa.Array, window: int, seeds: tuple[int, ...]) -> lis
 def _flagged(hashes: np.ndarray, replies: list[dict], cell_bits: int, block_bits: int) -> np.ndarray:
     """Windows in cells that the merged sketch counts twice or more."""
     cells = hashes >> X.U64(64 - cell_bits)
-    keys, _, _, place = X.distinct(cells, None)
-    return X.found_bits(replies, SKETCH, _block(keys, cell_bits, block_bits))[place]
+    keys, _, place = X.distinct([cells])
+    return X.found_bits(replies, SKETCH, _block(keys[0], cell_bits, block_bits))[place]
 
 
 def _block(cells: np.ndarray, cell_bits: int, block_bits: int) -> np.ndarray:
     return (cells >> X.U64(cell_bits - block_bits)).astype(np.int64)
 
 
-def _exact_keys(h: np.ndarray, second: np.ndarray, block_bits: int):
-    keys, more, multi, place = X.distinct(h, second.astype(np.uint32))
-    return keys, more, multi, place, _block(keys, 64, block_bits)
-
-
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 35,
                    chunk_bytes: int = CHUNK_BYTES, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """Per row: id, n_words, n_removed and the kept words joined by single spaces."""
@@ -71,16 +66,16 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
 
     def sketch(table: pa.Table) -> pa.Table:
         (h,) = _chunk_windows(table["text"], window, (0,))
-        keys, _, multi, _ = X.distinct(h >> X.U64(64 - cell_bits), None)
-        return X.send(table["chunk"][0].as_py(), SKETCH, keys, None, multi, _block(keys, cell_bits, block_bits))
+        keys, multi, _ = X.distinct([h >> X.U64(64 - cell_bits)])
+        return X.send(table["chunk"][0].as_py(), SKETCH, keys, multi, _block(keys[0], cell_bits, block_bits))
 
     def exact(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return X.KEYS_PA.empty_table()
         h, second = _chunk_windows(table["text"], window, (0, 1))
         on = _flagged(h, replies.to_pylist(), cell_bits, block_bits)
-        keys, more, multi, _, block = _exact_keys(h[on], second[on], block_bits)
-        return X.send(table["chunk"][0].as_py(), EXACT, keys, more, multi, block)
+        keys, multi, _ = X.distinct([h[on], second[on].astype(np.uint32)])
+        return X.send(table["chunk"][0].as_py(), EXACT, keys, multi, _block(keys[0], 64, block_bits))
 
     id_type = base.schema["id"].dataType.simpleString()
 
@@ -91,10 +86,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         if any(r["stage"] == EXACT for r in answers):
             h, second = _chunk_windows(table["text"], window, (0, 1))
             on = _flagged(h, answers, cell_bits, block_bits)
-            _, _, _, place, block = _exact_keys(h[on], second[on], block_bits)
-            where = X.found_bits(answers, EXACT, block)
+            keys, _, place = X.distinct([h[on], second[on].astype(np.uint32)])
             found = np.zeros(len(h), dtype=bool)
-            found[on] = where[place]
+            found[on] = X.found_bits(answers, EXACT, _block(keys[0], 64, block_bits))[place]
         n_words, n_removed, kept, at = [], [], [], 0
         for t in slices:
             w = t.words(())
@@ -106,9 +100,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
                          "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     sketched = base.groupBy("chunk").applyInArrow(sketch, X.KEYS_SCHEMA)
-    seen = sketched.groupBy("block").applyInArrow(X.answer(None), X.REPLY_SCHEMA)
+    seen = sketched.groupBy("block").applyInArrow(X.answer(()), X.REPLY_SCHEMA)
     grouped = base.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(exact, X.KEYS_SCHEMA)
-    repeated = grouped.groupBy("block").applyInArrow(X.answer("uint32"), X.REPLY_SCHEMA)
+    repeated = grouped.groupBy("block").applyInArrow(X.answer(("uint32",)), X.REPLY_SCHEMA)
     return (
         base.groupBy("chunk").cogroup(seen.unionByName(repeated).groupBy("chunk"))
         .applyInArrow(rewrite, f"id {id_type}, n_words long, n_removed long, kept string")
