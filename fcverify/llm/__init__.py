@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["substring_dedup", "suffix_dedup", "near_dedup"]
+MODULES = ["substring_dedup", "suffix_dedup", "near_dedup", "packing"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
