@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["substring_dedup", "suffix_dedup", "near_dedup", "packing", "quality_rules", "decontamination"]
+MODULES = ["substring_dedup", "suffix_dedup", "near_dedup", "packing", "quality_rules", "decontamination", "secret_scan"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

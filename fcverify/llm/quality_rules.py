@@ -126,20 +126,30 @@ def frequent_lines(lines: DataFrame, limit: int = LIMIT, share: float = SHARE) -
         F.col("documents") > F.col("of") * share).select("host", "line")
 
 
-def removed_words(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source",
-                  limit: int = LIMIT, share: float = SHARE) -> DataFrame:
-    """id, host_removed: words in frequent lines, of the documents that hold some."""
+def frequent_in(docs: DataFrame, id: str, text: str, host: str, limit: int, share: float) -> DataFrame:
+    """id, line, words of every occurrence of a frequent line."""
     lines = line_table(docs, id, text, host)
     frequent = frequent_lines(lines, limit, share).toDF("f_host", "f_line")
     hit = lines.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
-    return hit.groupBy("id").agg(F.sum("words").alias("host_removed"))
+    return hit.select("id", "line", "words")
+
+
+def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source",
+          limit: int = LIMIT, share: float = SHARE) -> DataFrame:
+    """``docs`` with the frequent lines of their host cut out of the text."""
+    gone = frequent_in(docs, id, text, host, limit, share).groupBy("id").agg(F.collect_set("line").alias("__lines"))
+    gone = gone.withColumnRenamed("id", "__id")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(normalised(x)))), "\n")
+    return docs.join(gone, F.col(id).eqNullSafe(F.col("__id")), "left").withColumn(
+        text, F.when(F.col("__lines").isNull(), F.col(text)).otherwise(left)).drop("__id", "__lines")
 
 
 def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS,
             limit: int = LIMIT, share: float = SHARE, min_share: float = MIN_SHARE, min_left: int = MIN_LEFT) -> DataFrame:
     """Per row: id, the base counts, base_failed, removed_words, kept."""
     base = base_measures(docs, id, text)
-    gone = removed_words(docs, id, text, host, limit, share).withColumnRenamed("id", "gone_id")
+    gone = frequent_in(docs, id, text, host, limit, share).groupBy(F.col("id").alias("gone_id")).agg(
+        F.sum("words").alias("host_removed"))
     n, removed = F.col("n_words"), F.coalesce("host_removed", F.lit(0))
     left = n - removed
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
