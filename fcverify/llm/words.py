@@ -95,16 +95,17 @@ class Texts:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
-    def words(self, seeds: tuple[int, ...] = (0,), fold: bool = False) -> Words:
-        return Words(self, seeds, fold)
+    def words(self, seeds: tuple[int, ...] = (0,), fold: bool = False, space: np.ndarray = _SPACE) -> Words:
+        """``space`` has a bit for each byte that separates words."""
+        return Words(self, seeds, fold, space)
 
 
 class Words:
     """Word starts and ends (in the joined bytes), the text of each word, and hashes by seed."""
 
-    def __init__(self, texts: Texts, seeds: tuple[int, ...], fold: bool):
+    def __init__(self, texts: Texts, seeds: tuple[int, ...], fold: bool, space: np.ndarray):
         data, bounds = texts.bytes, texts.bounds
-        inside = ~_SPACE[data]
+        inside = ~space[data]
         before = np.empty_like(inside)
         after = np.empty_like(inside)
         if len(data):
