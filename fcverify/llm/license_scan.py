@@ -167,7 +167,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def variants(words: list[str], filler: list[str], rng: np.random.Generator) -> list[str]:
     """A notice with some words dropped and ordinary words around it."""
     kept = [w for w in words if len(words) < 6 or rng.random() > 0.08]
-    around = [filler[int(i)] for i in rng.integers(0, len(filler), int(rng.integers(0, 13)))] if filler else []
+    most = 12 if rng.random() < 0.5 else WINDOW
+    around = [filler[int(i)] for i in rng.integers(0, len(filler), int(rng.integers(0, most)))] if filler else []
     cut = int(rng.integers(0, len(around) + 1))
     return [*around[:cut], *kept, *around[cut:]]
 
