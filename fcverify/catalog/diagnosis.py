@@ -117,7 +117,18 @@ register("spearman", _spearman_sql(""), "spearman_rho")(lambda s, d: stattests.s
 register("spearman_by_model", _spearman_sql("model, "), "spearman_rho")(
     lambda s, d: stattests.spearman(cells_with_recall(s, d), _spear, ("model",), 5).drop("p_value")
 )
-register("spearman_p_value", None, "spearman_rho p_value")(lambda s, d: stattests.spearman(cells_with_recall(s, d), _spear, (), 5))
+# Two-sided p-value of t with n - 2 degrees of freedom as a finite cosine series.
+_spearman_p = (
+    "SELECT comparison, any_value(n) AS n, any_value(spearman_rho) AS spearman_rho, CASE WHEN any_value(nu) % 2 = 1 "
+    "THEN 1 - 2 / pi() * (any_value(theta) + sin(any_value(theta)) * coalesce(sum(term), 0)) "
+    "ELSE 1 - sin(any_value(theta)) * coalesce(sum(term), 0) END AS p_value FROM ("
+    "SELECT *, CASE WHEN nu % 2 = 1 THEN exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(theta), 2 * j + 1) "
+    "ELSE exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos(theta), 2 * j) END AS term FROM ("
+    "SELECT *, unnest(list_prepend(CAST(NULL AS BIGINT), CASE WHEN nu % 2 = 1 THEN range(0, (nu - 1) // 2) ELSE range(0, nu // 2) END)) AS j FROM ("
+    "SELECT *, n - 2 AS nu, atan(abs(spearman_rho) / sqrt(1 - spearman_rho * spearman_rho)) AS theta "
+    f"FROM ({_spearman_sql('')})))) GROUP BY comparison"
+)
+register("spearman_p_value", _spearman_p, "spearman_rho p_value")(lambda s, d: stattests.spearman(cells_with_recall(s, d), _spear, (), 5))
 
 
 @register(
@@ -224,13 +235,9 @@ register(
 )(lambda s, d: decisions.failure_decomposition(T.ruled(s, d)))
 
 
-@register("incremental_auc", None, "auc_without_alpha auc_with_alpha delta_auc")
-def _auc(s, d):
-    """Thresholds at the medians of the rule A cells, so that both outcomes occur among them."""
-    cells = T.master(s, d)
-    passing = decisions.decision_rules(cells).filter("rule_a")
-    level = passing.agg(F.percentile("alpha", F.lit(0.5)).alias("a")).first()["a"]
-    return decisions.incremental_auc(decisions.decision_rules(cells, level or 0.0, 0.0), min_rows=10)
+register("incremental_auc", None, "auc_without_alpha auc_with_alpha delta_auc")(
+    lambda s, d: decisions.incremental_auc(decisions.decision_rules(T.master(s, d)))
+)
 
 
 def _family(s, d):

@@ -210,7 +210,9 @@ def _coverage(s, d):
 
 @register(
     "categorise_columns",
-    "SELECT * FROM (VALUES ('wind', 'wind_speed_ms'), ('moisture', 'humidity_pct'), ('thermodynamic', 'temp_c')) v(category, column_name)",
+    "SELECT unnest(['wind', 'moisture', 'thermodynamic']) AS category, unnest(['wind_speed_ms', 'humidity_pct', 'temp_c']) AS column_name, "
+    "unnest([count(n), count(v), count(u)]) AS n_values FROM (SELECT count(*) AS n, max(value) AS v, count(DISTINCT user_id) AS u "
+    "FROM events GROUP BY event_type, date_trunc('hour', ts))",
 )
 def _categorise(s, d):
     return readers.categorise_columns(T.covariates(s, d))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fcverify.catalog.base import cte
-from fcverify.operators import decisions
+from fcverify.operators import decisions, forecast
 from fcverify.operators.series import truncate_hour
 from fcverify.plans import daily, hourly
 from fcverify.session import settle
@@ -84,6 +84,25 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.naive_predictions(settle(ship_daily(spark, sf_dir)))
 
 
+def supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series per supplier: the number of series and rows grows with the tables."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.col("l_suppkey").cast("string").alias("dataset"), F.col("l_shipdate").cast("date").alias("date")).agg(
+        F.sum("l_quantity").alias("y")
+    )
+
+
+SUPPLIER_HORIZONS = (1, 7)
+
+
+def supplier_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = forecast.naive_wide(supplier_daily(spark, sf_dir), SUPPLIER_HORIZONS)
+    y, mean = F.col("y"), F.col("mean_y")
+    return forecast.stack_models(wide, {"persistence": y, "smooth": 0.3 * y + 0.7 * mean, "amplified": mean + 1.5 * (y - mean)}).filter(
+        F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()
+    )
+
+
 def diagnostics(spark: SparkSession, sf_dir: str) -> daily.DailyDiagnostics:
     return daily.DailyDiagnostics(predictions(spark, sf_dir), fixed=(("abs_50", FIXED),))
 
@@ -167,6 +186,28 @@ cte(
         )
     ),
 )
+cte(
+    "supplier_day",
+    "SELECT CAST(l_suppkey AS VARCHAR) AS dataset, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2",
+)
+cte(
+    "supplier_wide",
+    "SELECT o.dataset, h.horizon, t.y AS y_true, o.y, o.mean_y FROM (SELECT dataset, date, y, sum(y) OVER w / count(*) OVER w AS mean_y "
+    "FROM supplier_day WINDOW w AS (PARTITION BY dataset ORDER BY date ROWS UNBOUNDED PRECEDING)) o "
+    "CROSS JOIN (SELECT CAST(unnest([1, 7]) AS INTEGER) AS horizon) h "
+    "JOIN supplier_day t ON t.dataset = o.dataset AND t.date = o.date + h.horizon",
+)
+cte(
+    "supplier_pred",
+    " UNION ALL ".join(
+        f"SELECT dataset, '{m}' AS model, horizon, y_true, {e} AS y_pred, y AS y_base FROM supplier_wide"
+        for m, e in (
+            ("persistence", "y"),
+            ("smooth", "0.3::DOUBLE * y + 0.7::DOUBLE * mean_y"),
+            ("amplified", "mean_y + 1.5::DOUBLE * (y - mean_y)"),
+        )
+    ),
+)
 cte(
     "paired",
     "SELECT p.*, b.y_pred AS y_base FROM pred p JOIN pred b ON b.model = 'persistence' AND b.dataset = p.dataset "

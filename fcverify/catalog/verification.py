@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fcverify.catalog import tables as T
 from fcverify.catalog.base import register
+from fcverify.functions.quantiles import grouped_percentile
 from fcverify.operators import events, metrics, series, stattests, variance
 from fcverify.plans import hourly
 
@@ -28,6 +29,25 @@ register(
 
 register("skill_matched", "SELECT * FROM cell_skill", "skill mae_skill")(lambda s, d: metrics.skill_matched(T.predictions(s, d)))
 
+register(
+    "supplier_skill",
+    "SELECT dataset, model, horizon, count(*) AS n_pairs, "
+    "1 - sqrt(avg((y_true - y_pred) * (y_true - y_pred))) / nullif(sqrt(avg((y_true - y_base) * (y_true - y_base))), 0) AS skill, "
+    "1 - avg(abs(y_true - y_pred)) / nullif(avg(abs(y_true - y_base)), 0) AS mae_skill FROM supplier_pred WHERE model <> 'persistence' GROUP BY ALL",
+    "skill mae_skill",
+)(lambda s, d: metrics.skill_matched(T.supplier_predictions(s, d)))
+register(
+    "supplier_alpha",
+    "SELECT dataset, model, horizon, count(*) AS n, coalesce(var_pop(y_pred) / nullif(var_pop(y_true), 0), 0.0) AS alpha FROM supplier_pred GROUP BY ALL",
+    "alpha",
+)(lambda s, d: variance.alpha_table(T.supplier_predictions(s, d)))
+register(
+    "quantity_percentiles",
+    "SELECT l_returnflag, quantile_cont(l_quantity, 0.1) AS p10, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.75) AS p75, "
+    "quantile_cont(l_quantity, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag",
+    "p10 p50 p75 p90",
+)(lambda s, d: grouped_percentile(T.table(s, d, "lineitem"), ["l_returnflag"], "l_quantity", {"p10": 0.1, "p50": 0.5, "p75": 0.75, "p90": 0.9}))
+
 _errors = (
     "SELECT dataset, model, horizon, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse, avg(abs(y_true - y_pred)) AS mae FROM pred GROUP BY ALL"
 )
@@ -224,11 +244,11 @@ register("alpha", "SELECT * FROM cell_alpha", "alpha")(lambda s, d: variance.alp
 register("variance_retention_summary", "SELECT * EXCLUDE (alpha_ci_low, alpha_ci_high) FROM cell_summary", SUMMARY_DIGITS)(
     lambda s, d: T.diagnostics(s, d).summary.drop("alpha_ci_low", "alpha_ci_high")
 )
-register("bootstrap_alpha_ci", None, "alpha_ci_low alpha_ci_high")(lambda s, d: variance.bootstrap_alpha_ci(T.predictions(s, d), n_boot=200))
+register("bootstrap_alpha_ci", None, "alpha_ci_low alpha_ci_high")(lambda s, d: variance.bootstrap_alpha_ci(T.predictions(s, d)))
 register(
     "bootstrap_summary", None, "skill mae_skill alpha alpha_ci_low alpha_ci_high skill_vp",
 )(lambda s, d: variance.variance_retention_summary(
-    T.predictions(s, d), metrics.skill_matched(T.predictions(s, d)), variance.bootstrap_alpha_ci(T.predictions(s, d), n_boot=100)))
+    T.predictions(s, d), metrics.skill_matched(T.predictions(s, d)), variance.bootstrap_alpha_ci(T.predictions(s, d))))
 
 _limits7 = "(SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold)"
 register(

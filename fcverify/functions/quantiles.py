@@ -7,13 +7,33 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fcverify.functions.scan import running
+from fcverify.functions.scan import CHUNK, running
 
-ACCURACY = 100_000
-MARGIN = 5e-5
-# The margin must span a few ranks of every group that takes the sketch path.
-SMALL = 100_000
-SMALLEST = 60_000
+# Most ranges that the values of one group are cut into.
+RANGES = 4096
+
+
+def _cumulative(df: DataFrame, keys: Sequence[str], value: str, chunk: int, ranges: int) -> DataFrame:
+    """keys, value, __c (rows with it), __upto (rows up to it), __n (rows of the group).
+
+    Values are counted first, so ties are one row whatever their number. A group of more
+    than ``chunk`` distinct values is cut into ranges of about that many (at most
+    ``ranges``) at sketch quantiles; a chunked running sum adds up the counts. Nothing is
+    gathered: a task sorts one range of counted values and may spill.
+    """
+    keys = list(keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    cuts = counts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__distinct"), F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 4 * ranges).alias("__cuts")
+    )
+    # every step-th cut: ranges of about ``chunk`` distinct values
+    step = F.greatest(F.lit(1), F.floor(F.lit(float(ranges * chunk)) / F.col("__distinct"))).cast("int")
+    chosen = F.filter("__cuts", lambda c, i: (i + 1) % step == 0)
+    cuts = cuts.select(*keys, F.when(F.col("__distinct") > chunk, chosen).otherwise(F.slice("__cuts", 1, 0)).alias("__cuts"))
+    placed = counts.join(cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    return running(
+        placed, keys, [value], sums={"__upto": F.col("__c")}, totals={"__n": F.col("__c")}, chunk_column=F.col("__range")
+    ).drop("__range")
 
 
 def grouped_percentile(
@@ -21,53 +41,36 @@ def grouped_percentile(
     keys: Sequence[str],
     value: str,
     levels: Mapping[str, float],
-    small: int = SMALL,
+    chunk: int = CHUNK,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per group, NULL values ignored.
 
-    A first pass builds a mergeable sketch per group. Groups above ``small`` rows
-    keep only the values inside a bracket that the sketch guarantees to contain
-    the wanted order statistics, and count the values below it, so no task ever
-    gathers a whole large group. Smaller groups keep all their values.
+    The same path for groups of every size: counted values, their running count, and the
+    first values whose running count passes the wanted ranks.
     """
-    if small < SMALLEST:
-        raise ValueError(f"small must be at least {SMALLEST}")
     keys = list(keys)
-    names = list(levels)
     if not keys:
         raise ValueError("give at least one key; use a constant column for the whole table")
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    edges = [e for n in names for e in (max(0.0, levels[n] - MARGIN), min(1.0, levels[n] + MARGIN))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", [float(e) for e in edges], ACCURACY).alias("__e"),
-    )
-    joined = rows.join(sketch, keys)
-    whole = F.col("__n") <= F.lit(small)
-    lo = {n: F.when(whole, F.lit(float("-inf"))).otherwise(F.col("__e")[2 * i]) for i, n in enumerate(names)}
-    hi = {n: F.when(whole, F.lit(float("inf"))).otherwise(F.col("__e")[2 * i + 1]) for i, n in enumerate(names)}
-    v = F.col("__v")
-    gathered = joined.groupBy(*keys).agg(
-        F.first("__n").alias("__n"),
-        *[F.count_if(v < lo[n]).alias(f"__b_{n}") for n in names],
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v"))
+    counted = _cumulative(rows, keys, "__v", chunk, ranges)
+
+    def place(level: float):
+        return (F.col("__n") - 1) * F.lit(float(level))
+
+    found = counted.groupBy(*keys, "__n").agg(
         *[
-            F.sort_array(F.collect_list(F.when((v >= lo[n]) & (v <= hi[n]), v))).alias(f"__a_{n}")
-            for n in names
-        ],
+            F.min(F.when(F.col("__upto") >= F.floor(place(p)) + ahead, F.col("__v"))).alias(f"__{name}_{ahead}")
+            for name, p in levels.items()
+            for ahead in (1, 2)
+        ]
     )
     out = []
-    for n in names:
-        at = (F.col("__n") - 1) * F.lit(float(levels[n]))
-        k = F.floor(at)
-        r = (k - F.col(f"__b_{n}")).cast("int")
-        values = F.col(f"__a_{n}")
-        inside = (r >= 0) & (r + F.when(at > k, 1).otherwise(0) < F.size(values))
-        at_rank = F.greatest(r, F.lit(0))
-        low = F.try_element_at(values, at_rank + 1)
-        high = F.coalesce(F.try_element_at(values, at_rank + 2), low)
-        missed = F.raise_error(F.lit("percentile bracket missed its order statistic")).cast("double")
-        out.append(F.when(inside, low + (high - low) * (at - k)).otherwise(missed).alias(n))
-    return gathered.select(*keys, *out)
+    for name, p in levels.items():
+        low = F.col(f"__{name}_1")
+        high = F.coalesce(F.col(f"__{name}_2"), low)
+        out.append((low + (high - low) * (place(p) - F.floor(place(p)))).alias(name))
+    return found.select(*keys, *out)
 
 
 def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -97,17 +100,9 @@ def metric_percentiles(
     )
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, buckets: int = 256) -> DataFrame:
-    """Table ``keys, value, name`` of ascending average-tie ranks over arbitrarily large groups.
-
-    Values are counted, cut into buckets at sketch quantiles and ranked by a
-    chunked running sum, so a large group is spread over ``buckets`` tasks.
-    """
-    keys = list(keys)
-    levels = [i / buckets for i in range(1, buckets)]
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, levels, 10 * buckets).alias("__cuts"))
-    placed = counts.join(cuts, keys).withColumn("__bucket", F.size(F.filter("__cuts", lambda e: e < F.col(value)))).drop("__cuts")
-    return running(
-        placed, keys, [value], sums={"__upto": F.col("__c")}, chunk_column=F.col("__bucket")
-    ).select(*keys, value, (F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(name))
+def value_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, chunk: int = CHUNK, ranges: int = RANGES
+) -> DataFrame:
+    """Table ``keys, value, name`` of ascending average-tie ranks over arbitrarily large groups."""
+    counted = _cumulative(df.select(*keys, value), keys, value, chunk, ranges)
+    return counted.select(*keys, value, (F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(name))

@@ -130,24 +130,18 @@ def asof_join(
     values: Sequence[str],
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Attach to each left row the ``values`` of the latest right row with index <= its own."""
-    payload = [c for c in left.columns if c not in keys]
-    packed_left = left.select(
-        *keys,
-        F.col(left_index).cast("long").alias("__i"),
-        F.lit(1).alias("__side"),
-        F.struct(*payload).alias("__left"),
-    )
-    packed_right = right.select(
-        *keys,
-        F.col(right_index).cast("long").alias("__i"),
-        F.lit(0).alias("__side"),
-        F.struct(*values).alias("__right"),
+    """Attach to each left row the ``values`` of the latest right row with index <= its own.
+
+    The scan runs over the distinct indexes of the left side, one row each however many rows
+    share it; an equi-join, which adaptive execution splits where skewed, brings them back.
+    """
+    at = left.select(*keys, F.col(left_index).cast("long").alias("__i")).distinct().withColumn("__side", F.lit(1))
+    packed = right.select(
+        *keys, F.col(right_index).cast("long").alias("__i"), F.lit(0).alias("__side"), F.struct(*values).alias("__right")
     )
-    both = packed_left.unionByName(packed_right, allowMissingColumns=True)
+    both = at.unionByName(packed, allowMissingColumns=True)
     found = running(both, keys, ["__i", "__side"], lasts={"__seen": F.col("__right")}, chunk=chunk)
-    return found.filter(F.col("__side") == 1).select(
-        *keys,
-        *[F.col("__left")[c].alias(c) for c in payload],
-        *[F.col("__seen")[v].alias(v) for v in values],
-    )
+    seen = found.filter(F.col("__side") == 1).select(*keys, "__i", "__seen")
+    columns = [F.col(c) for c in left.columns if c not in keys]
+    rows = left.withColumn("__i", F.col(left_index).cast("long")).join(seen, [*keys, "__i"], "left")
+    return rows.select(*keys, *columns, *[F.col("__seen")[v].alias(v) for v in values])

@@ -25,25 +25,24 @@ def naive_wide(series: DataFrame, horizons: Sequence[int] = HORIZONS, season: in
 
     Works on observed rows only, so no calendar has to be built: a target is looked
     up by its date among the following rows, and the seasonal value is the one
-    ``season - h`` observed rows back (the origin itself where history is short).
+    last whole number of seasons before it (the origin itself where history is short).
     Adds ``mean_y``, the mean of the history up to the origin.
     """
-    if max(horizons) > season:
-        raise ValueError("seasonal naive needs horizons within one season")
     seen = with_index(series.filter(F.col("y").isNotNull()).select(*KEYS, "date", "y"))
     placed = running(seen, KEYS, ["idx"], sums={"pos": F.lit(1), "__sum": F.col("y")}, chunk=chunk).select(
         *KEYS, "date", "idx", "y", (F.col("pos") - 1).alias("pos"), (F.col("__sum") / F.col("pos")).alias("mean_y")
     )
     reach = max(horizons)
+    back = [season * -(-h // season) - h for h in horizons]
 
     def frames(w):
         following = F.collect_list(F.struct("idx", "y")).over(w.rowsBetween(1, reach))
         return {
             "__next": F.map_from_entries(following),
-            "__season": F.array(*[F.coalesce(F.lag("y", season - h).over(w), F.col("y")) for h in horizons]),
+            "__season": F.array(*[F.coalesce(F.lag("y", b).over(w), F.col("y")) for b in back]),
         }
 
-    wide = bounded_window(placed, KEYS, "pos", frames, back=season - min(horizons), ahead=reach, chunk=chunk)
+    wide = bounded_window(placed, KEYS, "pos", frames, back=max(back), ahead=reach, chunk=chunk)
     per_horizon = F.array(
         *[
             F.struct(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fcverify.functions import expr as X
@@ -19,15 +20,20 @@ def with_baseline(
     keys: Sequence[str] = BASELINE_KEYS,
     keep: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Inner join of every other model with the baseline rows on identical keys.
+    """Every other model's rows with the baseline of the same keys; rows without one go.
 
+    One shuffle of the predictions by the keys, which the baseline has once; no self-join.
     ``keep`` maps further baseline columns to output names.
     """
     extra = dict(keep or {})
-    base = predictions.filter(F.col("model") == baseline).select(
-        *keys, F.col("y_pred").alias("y_base"), *[F.col(c).alias(n) for c, n in extra.items()]
+    base = F.struct(F.col("y_pred").alias("y_base"), *[F.col(c).alias(n) for c, n in extra.items()])
+    keyed = predictions.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    found = F.max(F.when(F.col("model") == baseline, base)).over(Window.partitionBy(*keys))
+    return (
+        keyed.withColumn("__base", found)
+        .filter((F.col("model") != baseline) & F.col("__base").isNotNull())
+        .select(*[c for c in predictions.columns], "__base.*")
     )
-    return predictions.filter(F.col("model") != baseline).join(base, list(keys))
 
 
 def error_table(predictions: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:

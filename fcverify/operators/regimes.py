@@ -49,8 +49,8 @@ def prediction_master(
 
     ``predictions``: dataset, model, fold, pos, horizon, y_pred. ``series``: dataset,
     pos, ts, y. ``thresholds``: dataset, fold, horizon, event_threshold. Targets past
-    the end or without an observation drop out; a prediction without its baseline
-    raises.
+    the end or without an observation drop out; a prediction without its baseline, or
+    of a fold and horizon without a threshold, raises.
     """
     keys = ["dataset", "fold", "pos", "horizon"]
     base = predictions.filter(F.col("model") == baseline).select(*keys, F.col("y_pred").alias("y_persist"), F.lit(1).alias("__has"))
@@ -67,7 +67,9 @@ def prediction_master(
         .filter(F.col("y_true").isNotNull())
         .drop("__target")
         .join(origin, ["dataset", "pos"])
-        .join(thresholds, ["dataset", "fold", "horizon"])
+        .join(thresholds.withColumn("__known", F.lit(True)), ["dataset", "fold", "horizon"], "left")
+        .filter(F.coalesce("__known", F.raise_error(F.lit("fold and horizon without a training target")).cast("boolean")))
+        .drop("__known")
     )
     if covariates is not None:
         joined = joined.join(covariates.withColumnRenamed("ts", "origin_ts"), ["dataset", "origin_ts"], "left")

@@ -203,8 +203,11 @@ def kge_gain(model: Column | str, reference: Column | str) -> Column:
 
 
 def kge_horizon_table(predictions: DataFrame, baseline: str = "persistence") -> DataFrame:
-    """Components and KGE skill per cell, baseline rows removed."""
+    """Components and KGE skill per cell, baseline rows removed; predictions without any baseline row raise."""
     cells = kge_components(predictions)
+    present = predictions.filter(F.col("model") == baseline).select(F.count(F.lit(1)) > 0).scalar()
+    missing = F.raise_error(F.lit(f"no rows of the baseline model {baseline}")).cast("boolean")
+    cells = cells.filter(F.when(present, F.lit(True)).otherwise(missing))
     base = cells.filter(F.col("model") == baseline).select("dataset", "horizon", F.col("KGE_h").alias("KGE_persistence_h"))
     return (
         cells.filter(F.col("model") != baseline)

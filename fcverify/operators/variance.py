@@ -49,12 +49,10 @@ def variance_retention_summary(predictions: DataFrame, skill: DataFrame, ci: Dat
     return add_flags(cells.join(extra.select(*CELL, "skill", "mae_skill"), CELL)).select(*SUMMARY_COLUMNS)
 
 
-EXACT_ROWS = 1_000_000
-
 # ---- bootstrap -------------------------------------------------------------
 
-# Cumulative Poisson(1) probabilities.
-POISSON_STEPS = np.cumsum(np.exp(-1.0) / np.array([1.0, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800]))
+# Cumulative Poisson(1) probabilities; the tail beyond is below the resolution of a double.
+POISSON_STEPS = np.cumsum(np.exp(-1.0) / np.cumprod(np.maximum(np.arange(21.0), 1.0)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,20 +112,13 @@ def bootstrap_alpha_ci(
     n_boot: int = 1000,
     ci: float = 0.95,
     seed: int = 42,
-    mode: str = "poisson",
     row_key: Sequence[str] = ("dataset", "model", "horizon", "origin_date", "date"),
 ) -> DataFrame:
     """Percentile interval of alpha per cell.
 
-    ``poisson`` weights every row independently from a hash of its key, so the
-    result does not depend on partitioning and one cell may span many tasks.
-    ``exact`` resamples sorted rows with a seeded generator inside one task per
-    cell; it is meant for small tables only.
+    Every row is weighted independently from a hash of its key, so the result does
+    not depend on partitioning and one cell may span many tasks.
     """
-    if mode == "exact":
-        return _exact_bootstrap(predictions, n_boot, ci, seed, row_key)
-    if mode != "poisson":
-        raise ValueError(f"unknown mode: {mode}")
     means = predictions.groupBy(*CELL).agg(F.avg("y_true").alias("__mt"), F.avg("y_pred").alias("__mp"))
     centred = predictions.join(means, CELL).select(
         *CELL,
@@ -150,29 +141,6 @@ def bootstrap_alpha_ci(
     return grouped_percentile(alphas, CELL, "alpha", {"alpha_ci_low": lo, "alpha_ci_high": hi})
 
 
-def _exact_bootstrap(predictions, n_boot, ci, seed, row_key):
-    lo, hi = (1 - ci) / 2 * 100, (1 + ci) / 2 * 100
-
-    def one(cell: pd.DataFrame) -> pd.DataFrame:
-        if len(cell) > EXACT_ROWS:
-            raise ValueError(f"exact mode holds a cell in one task: {len(cell)} rows, use mode='poisson'")
-        cell = cell.sort_values([c for c in row_key if c in cell.columns])
-        t, p = cell["y_true"].to_numpy(float), cell["y_pred"].to_numpy(float)
-        draw = np.random.default_rng(seed)
-        alphas = []
-        for _ in range(n_boot):
-            at = draw.integers(0, len(t), size=len(t))
-            spread = np.var(t[at])
-            alphas.append(np.var(p[at]) / spread if spread > 0 else 0.0)
-        low, high = np.percentile(alphas, [lo, hi])
-        head = cell.iloc[0]
-        return pd.DataFrame([(head["dataset"], head["model"], int(head["horizon"]), low, high)],
-                            columns=[*CELL, "alpha_ci_low", "alpha_ci_high"])
-
-    schema = "dataset string, model string, horizon int, alpha_ci_low double, alpha_ci_high double"
-    return predictions.groupBy(*CELL).applyInPandas(one, schema)
-
-
 # ---- counts over the summary ----------------------------------------------
 
 

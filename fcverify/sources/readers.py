@@ -248,14 +248,16 @@ def covariate_coverage(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def categorise_columns(df: DataFrame) -> DataFrame:
-    """Column names of ``df`` by category; reads only the schema."""
-    rows = [
+    """Column names of ``df`` by category, with the number of values each holds."""
+    found = [
         (category, c)
         for c in df.columns
         for category, patterns in COLUMN_CATEGORIES.items()
         if any(p in c.lower() for p in patterns)
     ]
-    return df.sparkSession.createDataFrame(rows, "category string, column_name string")
+    kind = "array<struct<category:string,column_name:string,n_values:bigint>>"
+    rows = F.array(*[F.struct(F.lit(k).alias("category"), F.lit(c).alias("column_name"), F.count(c).alias("n_values")) for k, c in found])
+    return df.agg(F.inline(rows.cast(kind)))
 
 
 def union_tables(tables: Sequence[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fcverify.functions.expanding import expanding_percentile
-from fcverify.functions.quantiles import grouped_percentile, medians, metric_percentiles, value_ranks
+from fcverify.functions.quantiles import _cumulative, grouped_percentile, medians, metric_percentiles, value_ranks
 from fcverify.functions.scan import asof_join, bounded_window, running, with_position
 
 
@@ -86,10 +86,30 @@ def test_grouped_percentile_is_exact_on_small_groups(spark):
         assert out.loc[g, "p75"] == pytest.approx(np.percentile(part["v"], 75), abs=1e-12)
         assert out.loc[g, "p10"] == pytest.approx(np.percentile(part["v"], 10), abs=1e-12)
     with pytest.raises(ValueError):
-        grouped_percentile(df, ["g"], "v", {"p10": 0.1}, small=10)
+        grouped_percentile(df, [], "v", {"p10": 0.1})
 
 
-def test_grouped_percentile_bracket_on_a_large_group(spark):
+def test_percentiles_of_mostly_tied_values(spark):
+    """Four fifths of the rows are one value: it is one counted row, and no range exceeds its size."""
+    df = spark.range(200_000).select(
+        F.lit("hot").alias("g"), F.when(F.col("id") % 5 > 0, 0.0).otherwise((F.hash("id") % 100_003).cast("double")).alias("v"))
+    values = df.select("v").toPandas()["v"]
+    counted = _cumulative(df, ["g"], "v", 512, 256)
+    assert counted.count() == values.nunique() and counted.filter("v = 0").first()["__c"] >= 160_000
+    levels = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "top": 1.0, "low": 0.0}
+    out = grouped_percentile(df, ["g"], "v", levels, chunk=512, ranges=256).first()
+    for name, p in levels.items():
+        assert out[name] == pytest.approx(np.percentile(values, 100 * p), abs=1e-9)
+
+
+def test_asof_join_with_many_rows_at_one_index(spark):
+    left = spark.createDataFrame([("a", 5, i) for i in range(300)] + [("a", None, 1), ("b", 5, 2)], "k string, at long, tag int")
+    right = spark.createDataFrame([("a", 3, 1.0), ("a", 6, 2.0)], "k string, at long, v double")
+    out = asof_join(left, right, ["k"], "at", "at", ["v"], chunk=4).collect()
+    assert sorted((r.k, r.at or -1, r.v or 0.0) for r in out) == [("a", -1, 0.0)] + [("a", 5, 1.0)] * 300 + [("b", 5, 0.0)]
+
+
+def test_grouped_percentile_on_a_large_group(spark):
     df = spark.range(300_000).select(F.lit("hot").alias("g"), (F.hash("id") % 1_000_003).cast("double").alias("v"))
     out = grouped_percentile(df, ["g"], "v", {"p75": 0.75, "p90": 0.9}).first()
     values = df.select("v").toPandas()["v"]
@@ -107,7 +127,7 @@ def test_metric_percentiles_and_medians_ignore_nulls(spark):
 def test_value_ranks_are_average_ranks(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"g": rng.integers(0, 2, 800), "v": rng.integers(0, 60, 800).astype(float)})
-    ranks = value_ranks(spark.createDataFrame(frame), ["g"], "v", "r", buckets=8).toPandas()
+    ranks = value_ranks(spark.createDataFrame(frame), ["g"], "v", "r", chunk=8, ranges=64).toPandas()
     expected = frame.assign(r=frame.groupby("g")["v"].rank()).drop_duplicates()
     merged = expected.merge(ranks, on=["g", "v"], suffixes=("", "_got"))
     assert len(merged) == len(expected)

@@ -58,8 +58,10 @@ def test_rolling_origin_pairs(spark, chunk):
     pairs = splits.rolling_origin_pairs(daily(spark, [float(i) for i in range(20)]), 5, 3, chunk=chunk).toPandas()
     assert len(pairs) == 39 and sorted(pairs["fold"]) == list(range(39))
     assert (pairs["target_date"] > pairs["train_end"]).all()
+    far = splits.rolling_origin_pairs(daily(spark, [float(i) for i in range(40)]), 5, 14, chunk=chunk)
+    assert far.count() == 14 * (40 - 14 - 4) and far.agg(F.max("horizon")).first()[0] == 14
     with pytest.raises(ValueError):
-        splits.rolling_origin_pairs(daily(spark, [1.0]), max_horizon=8)
+        splits.rolling_origin_pairs(daily(spark, [1.0]), max_horizon=0)
 
 
 def test_features_do_not_change_when_the_future_does(spark):
