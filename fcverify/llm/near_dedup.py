@@ -9,14 +9,21 @@ connected component of links and is named after its smallest id.
    by maximum, and two sets agree in a register with a probability of at least their similarity.
 2. Equal sets collapse to one representative. Bands of ``BAND`` registers are bucket keys. A pair at
    similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32, about 5e-6.
-3. Star round: each member of a bucket is paired with the bucket's smallest and largest id, not with
-   every member. The registers and the known set sizes give the likelihood of each similarity; pairs
-   whose estimate is more than ``MARGIN`` (over five standard deviations) below the threshold go, all
-   others are verified on the full sets. Verified links give components.
-4. Cross round: in buckets that still hold several components, members outside the bucket's largest
-   component are paired with all members of other components, and verified the same way. After this
-   every pair that shares a bucket is verified or already in one component, so no link that could
-   join two groups is left out, and a bucket of thousands of copies never emits its pairs.
+3. Of the documents that share a bucket with another, the shingles that no other of them holds are
+   counted (``alone``). At most n - alone shingles of a document can be common with any partner, which
+   bounds the similarity of a pair from above; edited copies of one text are mostly ruled out this way.
+4. Star round: each member of a bucket is paired with the bucket's smallest id and with its most
+   central member (the smallest share of lone shingles), not with every member. The registers and the
+   known set sizes give the likelihood of each similarity; pairs whose estimate is more than ``MARGIN``
+   (over five standard deviations) below the threshold go, all others are verified on the full sets.
+   Verified links give components.
+5. Cross round, in buckets that still hold several components. A hub, the most central member of the
+   bucket's largest component, gives a sharper bound: two members have in common at most the smaller of
+   what each shares with the hub, and the shingles both have beyond it. So a member x outside the
+   largest component is paired with a member y of another one only if the first part alone can reach
+   the threshold, or if x and y meet in an index of shingles beyond the hub, often enough. These pairs
+   are verified the same way. After this every pair that shares a bucket is verified, ruled out by an
+   exact bound or already in one component: no link that could join two groups is left out.
 
 Defined cases: null text, or none but white space, has an empty set, is linked with nothing and
 kept; rows that repeat an id stand or fall together; a row with a null id is linked with nothing
@@ -29,9 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fcverify.llm import exchange as X
 from fcverify.llm.words import U64, as_bytes, mix, prefix_hash, span_hash, texts
 from fcverify.session import settle
 
@@ -39,6 +48,7 @@ REGISTERS, BAND = 128, 4
 BASE, RATE = 1.001, 20.0
 MARGIN = 0.2
 SLICE = 256 << 10
+CHUNK_BYTES, BLOCK_KEYS = 4 << 20, 4 << 20
 _SEEDS = mix(np.arange(1, 2 * REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _SEEDS[:REGISTERS], _SEEDS[REGISTERS:] | U64(1)
 
@@ -159,17 +169,67 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int, kind: str) -> Data
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def full_sets(docs: DataFrame, members: DataFrame, id: str, text: str, width: int, kind: str) -> DataFrame:
-    """Shingle hashes of the documents in ``members`` (distinct ids)."""
+def against(pairs: DataFrame, full: DataFrame, kind: str) -> DataFrame:
+    """a, b, common, extras: what the set of a has in common with that of b, and its shingles beyond."""
 
     def run(batches):
         for batch in batches:
-            made = [h[a:b].tobytes() for h, bounds in shingle_sets(batch.column(1), width)
-                    for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
+            common, extras = [], []
+            for x, y in zip(_rows(batch.column("s_a"), "<u8"), _rows(batch.column("s_b"), "<u8"), strict=True):
+                extras.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
+                common.append(len(x) - len(extras[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(extras, pa.list_(pa.int64()))],
+                ["a", "b", "common", "extras"])
 
-    wanted = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(members, "id", "left_semi")
-    return wanted.mapInArrow(run, f"id {kind}, shingles binary").dropDuplicates(["id"])
+    both = pairs.join(full.toDF("a", "s_a"), "a").join(full.toDF("b", "s_b"), "b")
+    return both.mapInArrow(run, f"a {kind}, b {kind}, common long, extras array<long>")
+
+
+def full_sets(docs: DataFrame, members: DataFrame, id: str, text: str, width: int, kind: str,
+              chunk_bytes: int = CHUNK_BYTES, block_keys: int = BLOCK_KEYS) -> DataFrame:
+    """id, n, alone, shingles of the documents in ``members`` (distinct ids)."""
+    size = X.corpus_bytes(docs, text)
+    chunks = max(1, -(-size // chunk_bytes))
+    block_bits = max(1, int(np.ceil(np.log2(max(size / 6 / block_keys, 2)))))
+    base = docs.select(X.chunk_of([F.col(id)], chunks).alias("chunk"), F.col(id).alias("id"), F.col(text).alias("text"))
+    wanted = members.select(X.chunk_of([F.col("id")], chunks).alias("chunk"), "id")
+
+    def sets_of(table: pa.Table, ids: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+        own = table.filter(pc.is_in(table["id"], value_set=ids.combine_chunks()))
+        found = [h[a:b] for h, bounds in shingle_sets(own["text"], width) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        first = {}
+        for i, v in enumerate(own["id"].to_pylist()):
+            first.setdefault(v, i)
+        keep = list(first.values())
+        return own["id"].take(pa.array(keep, pa.int64())), [found[i] for i in keep]
+
+    def block(keys: np.ndarray) -> np.ndarray:
+        return (keys >> U64(64 - block_bits)).astype(np.int64)
+
+    def send(table: pa.Table, ids: pa.Table) -> pa.Table:
+        if not table.num_rows or not ids.num_rows:
+            return X.KEYS_PA.empty_table()
+        _, sets = sets_of(table, ids["id"])
+        (keys,), multi, _ = X.distinct([np.concatenate(sets)])
+        return X.send(table["chunk"][0].as_py(), 1, [keys], multi, block(keys))
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        ids = answers.filter(pc.is_valid(answers["id"]))["id"]
+        names, sets = sets_of(table, ids) if table.num_rows and len(ids) else (pa.array([], table.schema.field("id").type), [])
+        made = {"n": [len(h) for h in sets], "alone": [], "shingles": [h.tobytes() for h in sets]}
+        if sets:
+            (keys,), _, place = X.distinct([np.concatenate(sets)])
+            replies = answers.filter(pc.is_valid(answers["stage"])).select(["stage", "block", "bits"]).to_pylist()
+            again = X.found_bits(replies, 1, block(keys))[place]
+            made["alone"] = [int((~x).sum()) for x in np.split(again, np.cumsum(made["n"])[:-1])]
+        return pa.table({"id": names, "n": pa.array(made["n"], pa.int64()), "alone": pa.array(made["alone"], pa.int64()),
+                         "shingles": pa.array(made["shingles"], pa.binary())})
+
+    sent = base.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(send, X.KEYS_SCHEMA)
+    replies = sent.groupBy("block").applyInArrow(X.answer(()), X.REPLY_SCHEMA)
+    both = wanted.unionByName(replies, allowMissingColumns=True)
+    return base.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, f"id {kind}, n long, alone long, shingles binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,26 +262,61 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(
         i, F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND)))))
     banded = sets.select("id", band.alias("key"))
-    stars = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    members = settle(banded.join(stars, "key"))
+    shared = banded.groupBy("key").agg(F.count("id").alias("size")).filter("size > 1").select("key")
+    members = settle(banded.join(shared, "key").select("key", "id"))
     full = settle(full_sets(docs, members.select("id").distinct(), id, text, width, kind))
-
-    star = members.select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(
-        members.select(F.col("id").alias("a"), F.col("high").alias("b"))).filter("a <> b")
-    star = settle(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = settle(verified(likely(star, sets, percent, kind), full, percent, kind))
+    shingles = full.select("id", "shingles")
+    placed = members.join(full.select("id", "n", "alone"), "id")
+
+    def possible(a: str, b: str) -> Column:
+        """Whether the lone shingles leave room for the threshold."""
+        common = F.least(F.col(f"n_{a}") - F.col(f"alone_{a}"), F.col(f"n_{b}") - F.col(f"alone_{b}"))
+        return (100 + percent) * common >= percent * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return settle(verified(likely(pairs, sets, percent, kind), shingles, percent, kind))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    side = lambda x: ("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("alone").alias(f"alone_{x}"))
+    hub = F.struct("id", "n", "alone")
+    hubs = placed.groupBy("key").agg(
+        F.min(hub).alias("low"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), hub.alias("hub")))["hub"].alias("central"))
+    hubs = hubs.select("key", F.explode(F.array("low", "central")).alias("h")).select(
+        "key", F.col("h.id").alias("b"), F.col("h.n").alias("n_b"), F.col("h.alone").alias("alone_b"))
+    star = settle(ordered(placed.select(*side("a")).join(hubs, "key").filter((F.col("a") != F.col("b")) & possible("a", "b"))))
+    links = linked(star)
     label = components(links)
 
-    placed = members.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("key", "component").agg(F.count("id").alias("size")).groupBy("key").agg(
         F.max(F.struct("size", "component"))["component"].alias("largest"), F.count("component").alias("components")
     ).filter("components > 1")
-    placed = settle(placed.join(open_.select("key", "largest"), "key"))
-    asking = placed.filter("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"))
-    cross = asking.join(placed.select("key", F.col("id").alias("b"), F.col("component").alias("c_b")), "key").filter("c_a <> c_b")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = settle(verified(likely(cross, sets, percent, kind), full, percent, kind))
-    label = components(links.unionByName(more))
+    chiefs = label.join(full.select("id", "n", "alone"), "id").groupBy(F.col("component").alias("largest")).agg(
+        F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "id"))["id"].alias("hub"))
+    able = 100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")
+    placed = placed.filter(able).join(open_.select("key", "largest"), "key").join(chiefs, "largest", "left").select(
+        "key", "id", "n", "component", F.coalesce("hub", "largest").alias("hub"), (F.col("component") != F.col("largest")).alias("asks"))
+    placed = settle(placed)
+    beyond = settle(against(placed.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), shingles, kind))
+    placed = placed.join(beyond.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common"), ["id", "hub"])
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "common", "asks")] + [F.col("id").alias(x)]
+    apart = (F.col("component_a") != F.col("component_b")) & F.col("asks_a") & (~F.col("asks_b") | (F.col("a") < F.col("b")))
+
+    def reaches(common: Column) -> Column:
+        return (100 + percent) * common >= percent * (F.col("n_a") + F.col("n_b"))
+
+    close = placed.filter(100 * F.col("common") >= percent * F.col("n"))
+    by_hub = close.filter("asks").select("key", *side("a")).join(close.select("key", *side("b")), "key").filter(
+        apart & reaches(F.least("common_a", "common_b")))
+    index = placed.drop("key").distinct().join(
+        beyond.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.explode("extras").alias("extra")), ["id", "hub"])
+    met = index.filter("asks").select("hub", "extra", *side("a")).join(index.select("hub", "extra", *side("b")), ["hub", "extra"]).filter(apart)
+    met = met.groupBy("hub", "a", "b", "n_a", "n_b", "common_a", "common_b").agg(F.count("*").alias("extras")).filter(
+        reaches(F.least("common_a", "common_b") + F.col("extras")))
+    cross = ordered(by_hub.select("a", "b").unionByName(met.select("a", "b"))).join(star, ["a", "b"], "left_anti")
+    label = components(links.unionByName(linked(cross)))
 
     named = sets.select("h1", "h2", "n", "id").join(label, "id", "left").select(
         "h1", "h2", "n", F.coalesce("component", "id").alias("component_id"))
