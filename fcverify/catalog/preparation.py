@@ -474,6 +474,11 @@ def _grouped(s, d, forecaster):
     return forecast.grouped_forecast(grid, hourly.fold_bounds(grid), hourly.HORIZONS, forecaster)
 
 
+def _seasonal_ar(s, d, make):
+    grid = T.hourly_grid(s, d)
+    return make(grid, hourly.fold_bounds(grid))
+
+
 register(
     "grouped_forecast",
     "SELECT g.dataset, CAST(b.fold AS INTEGER) AS fold, g.pos, h.horizon, m.m AS y_pred FROM hour_grid g CROSS JOIN hourly_horizon h JOIN rolling_bound b "
@@ -482,6 +487,29 @@ register(
     "ON m.dataset = g.dataset AND m.fold = b.fold",
     "y_pred",
 )(lambda s, d: _grouped(s, d, _train_mean).drop("error"))
-register("seasonal_ar_forecast", None, "y_pred")(
-    lambda s, d: _grouped(s, d, forecast.seasonal_ar(24))
+cte(
+    "ar_cell",
+    "SELECT dataset, fold, n, mv - c1 * ma - c2 * mb AS c0, c1, c2 FROM ("
+    "SELECT *, (av * bb - bv * ab) / (aa * bb - ab * ab) AS c1, (bv * aa - av * ab) / (aa * bb - ab * ab) AS c2 FROM ("
+    "SELECT f.dataset, CAST(b.fold AS INTEGER) AS fold, count(*) AS n, avg(v) AS mv, avg(a) AS ma, avg(b24) AS mb, var_pop(a) AS aa, var_pop(b24) AS bb, "
+    "covar_pop(a, b24) AS ab, covar_pop(a, v) AS av, covar_pop(b24, v) AS bv FROM ("
+    "SELECT dataset, pos, y_causal AS v, lag(y_causal) OVER w AS a, lag(y_causal, 24) OVER w AS b24 FROM hour_fill WINDOW w AS (PARTITION BY dataset ORDER BY pos)) f "
+    "JOIN rolling_bound b ON b.dataset = f.dataset AND f.pos < b.train_end WHERE v IS NOT NULL AND a IS NOT NULL AND b24 IS NOT NULL GROUP BY ALL))",
+)
+register("seasonal_ar_coefficients", "SELECT * FROM ar_cell", "c0 c1 c2")(
+    lambda s, d: _seasonal_ar(s, d, forecast.seasonal_ar_coefficients).withColumn("fold", F.col("fold").cast("int"))
+)
+register(
+    "seasonal_ar_forecast",
+    "SELECT dataset, fold, pos, horizon, CASE WHEN len(list_filter(first24, lambda x: x IS NOT NULL)) = 24 THEN path[24 + horizon] END AS y_pred FROM ("
+    "WITH RECURSIVE run AS ("
+    "SELECT o.dataset, CAST(b.fold AS INTEGER) AS fold, o.pos, b.test_end, o.recent AS first24, o.recent AS path, c0, c1, c2, 0 AS step FROM ("
+    "SELECT dataset, pos, list(y_causal) OVER (PARTITION BY dataset ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS recent FROM hour_fill) o "
+    "JOIN rolling_bound b ON b.dataset = o.dataset AND o.pos >= b.train_end AND o.pos < b.test_end "
+    "LEFT JOIN ar_cell c ON c.dataset = b.dataset AND c.fold = b.fold "
+    "UNION ALL SELECT dataset, fold, pos, test_end, first24, list_append(path, c0 + c1 * path[len(path)] + c2 * path[len(path) - 23]), c0, c1, c2, step + 1 "
+    "FROM run WHERE step < 48) SELECT * FROM run WHERE step = 48) CROSS JOIN hourly_horizon WHERE pos + horizon < test_end",
+    "y_pred",
+)(
+    lambda s, d: _seasonal_ar(s, d, lambda grid, bounds: forecast.seasonal_ar_direct(grid, bounds, hourly.HORIZONS))
 )

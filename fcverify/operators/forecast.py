@@ -283,6 +283,66 @@ def load_boosted(path: str, fold: int, horizon: int):
     return GBTRegressionModel.load(f"{path}/fold={fold}/horizon={horizon}")
 
 
+# ---- seasonal autoregression from moments ------------------------------------
+
+
+def _lagged(filled: DataFrame, period: int, column: str, chunk: int) -> DataFrame:
+    """Values with the one before and the one a period before."""
+    rows = filled.select(*KEYS, "pos", F.col(column).cast("double").alias("v"))
+    return bounded_window(rows, KEYS, "pos", lambda w: {"__a": F.lag("v", 1).over(w), "__b": F.lag("v", period).over(w)}, back=period, chunk=chunk)
+
+
+def seasonal_ar_coefficients(
+    filled: DataFrame, bounds: DataFrame, period: int = 24, column: str = "y_causal", chunk: int = CHUNK
+) -> DataFrame:
+    """``n, c0, c1, c2`` per (dataset, fold): least squares of a value on the last one and the one a period back.
+
+    Covariances of the training rows, one aggregate for all series and folds. NULL where
+    the history is shorter than one period or the two regressors are collinear.
+    """
+    v, a, b = F.col("v"), F.col("__a"), F.col("__b")
+    inside = _lagged(filled, period, column, chunk).join(bounds.select(*KEYS, "fold", "train_end"), KEYS).filter(F.col("pos") < F.col("train_end"))
+    moments = inside.filter(v.isNotNull() & a.isNotNull() & b.isNotNull()).groupBy(*KEYS, "fold", "train_end").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mv"), F.avg("__a").alias("ma"), F.avg("__b").alias("mb"),
+        F.var_pop("__a").alias("aa"), F.var_pop("__b").alias("bb"), F.covar_pop("__a", "__b").alias("ab"),
+        F.covar_pop("__a", "v").alias("av"), F.covar_pop("__b", "v").alias("bv"),
+    )
+    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    usable = (F.col("train_end") > period + 3) & (det > F.lit(X.TINY) * F.col("aa") * F.col("bb"))
+    c1 = F.when(usable, X.divide(F.col("av") * F.col("bb") - F.col("bv") * F.col("ab"), det))
+    c2 = F.when(usable, X.divide(F.col("bv") * F.col("aa") - F.col("av") * F.col("ab"), det))
+    return moments.select(*KEYS, "fold", "n", c1.alias("c1"), c2.alias("c2"), "mv", "ma", "mb").select(
+        *KEYS, "fold", "n", (F.col("mv") - F.col("c1") * F.col("ma") - F.col("c2") * F.col("mb")).alias("c0"), "c1", "c2"
+    )
+
+
+def seasonal_ar_direct(
+    filled: DataFrame, bounds: DataFrame, horizons: Sequence[int], period: int = 24, column: str = "y_causal", chunk: int = CHUNK
+) -> DataFrame:
+    """Forecasts of every test origin: the autoregression run forward from its last ``period`` values.
+
+    An origin is one row with its last values as an array; no group holds a series.
+    Returns ``dataset, fold, pos, horizon, y_pred``; targets stay inside the test window.
+    """
+    steps = max(horizons)
+    rows = filled.select(*KEYS, "pos", F.col(column).cast("double").alias("v"))
+    recent = bounded_window(
+        rows, KEYS, "pos", lambda w: {"__last": F.collect_list("v").over(w.rowsBetween(-(period - 1), 0))}, back=period, chunk=chunk)
+    origins = recent.join(bounds.select(*KEYS, "fold", "train_end", "test_end"), KEYS).filter(
+        (F.col("pos") >= F.col("train_end")) & (F.col("pos") < F.col("test_end")))
+    fitted = origins.join(seasonal_ar_coefficients(filled, bounds, period, column, chunk), [*KEYS, "fold"], "left")
+    path = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), F.col("__last"),
+        lambda made, _: F.concat(made, F.array(F.col("c0") + F.col("c1") * F.element_at(made, -1) + F.col("c2") * F.element_at(made, -period))))
+    known = F.when((F.size("__last") == period) & F.col("c1").isNotNull(), path)
+    wanted = F.explode(F.array(*[F.struct(F.lit(int(h)).alias("horizon"), F.get("__path", F.lit(period + int(h) - 1)).alias("y_pred")) for h in horizons]))
+    return (
+        fitted.withColumn("__path", known).select(*KEYS, "fold", "pos", "test_end", wanted.alias("h"))
+        .select(*KEYS, F.col("fold").cast("int").alias("fold"), F.col("pos").cast("long").alias("pos"), "test_end", "h.*")
+        .filter(F.col("pos") + F.col("horizon") < F.col("test_end")).drop("test_end")
+    )
+
+
 # ---- user-supplied forecasters ----------------------------------------------
 
 

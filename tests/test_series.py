@@ -192,3 +192,15 @@ def test_context_windows_keep_gaps(spark):
     grid = series.grid_position(series.densify(daily(spark, [1.0, None, 3.0, 4.0, 5.0])))
     out = {r["end_idx"]: list(r["context"]) for r in series.context_windows(grid, 3, 2, chunk=4).collect()}
     assert out == {2: [1.0, None, 3.0], 4: [3.0, 4.0, 5.0]}
+
+
+def test_seasonal_autoregression_from_moments_equals_the_least_squares_fit(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, float(50 + 10 * np.sin(i / 24 * 2 * np.pi) + rng.normal())) for k in "ab" for i in range(300)]
+    grid = spark.createDataFrame(rows, "dataset string, pos long, y_causal double")
+    bounds = spark.createDataFrame([(k, f, 100 + 50 * f, 150 + 50 * f) for k in "ab" for f in range(3)], "dataset string, fold int, train_end long, test_end long")
+    keys = ["dataset", "fold", "pos", "horizon"]
+    made = forecast.seasonal_ar_direct(grid, bounds, (1, 6, 30), chunk=64).toPandas().sort_values(keys).reset_index(drop=True)
+    plain = forecast.grouped_forecast(grid, bounds, (1, 6, 30), forecast.seasonal_ar(24)).toPandas().sort_values(keys).reset_index(drop=True)
+    assert (made[keys] == plain[keys]).all().all()
+    np.testing.assert_allclose(made["y_pred"].astype(float), plain["y_pred"].astype(float), rtol=1e-8)
