@@ -410,6 +410,33 @@ def _clusters(s, d, k=3):
 
 
 register("cluster_regimes")(lambda s, d: _clusters(s, d)[0])
+register(
+    "cluster_label_counts",
+    "SELECT g.dataset, CAST(b.fold AS INTEGER) AS fold, count(*) AS n_rows FROM hour_grid g JOIN rolling_bound b "
+    "ON b.dataset = g.dataset AND g.pos >= b.train_end AND g.pos < b.test_end GROUP BY ALL",
+)(lambda s, d: _clusters(s, d)[0].filter("cluster_k3_regime IS NOT NULL").groupBy("dataset", F.col("fold").cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n_rows")))
+
+# Fixed centres: the mean covariates of each event type; fixed cuts.
+_CUTS = {"wind_speed_ms": (2.0, 2.8), "humidity_pct": (100.0, 150.0), "temp_c": (2.0, 2.8)}
+
+
+def _given_centres(s, d):
+    return T.covariates(s, d).groupBy(F.col("dataset").alias("cluster")).agg(*[F.round(F.avg(c), 6).alias(c) for c in _CUTS])
+
+
+register(
+    "label_given_centres",
+    "SELECT * EXCLUDE (words), 'cluster_' || cluster || '_' || CASE WHEN len(words) > 0 THEN array_to_string(words, '_') ELSE 'cluster_' || cluster END AS label FROM ("
+    "SELECT *, list_filter(["
+    + ", ".join(
+        f"CASE WHEN {c} <= {_CUTS[c][0]} THEN '{low}' WHEN {c} >= {_CUTS[c][1]} THEN '{high}' END"
+        for c, low, high in (("wind_speed_ms", "calm", "ventilated"), ("humidity_pct", "dry", "humid"), ("temp_c", "cool", "warm"))
+    )
+    + "], lambda x: x IS NOT NULL) AS words FROM (SELECT dataset AS cluster, round(avg(wind), 6) AS wind_speed_ms, round(avg(humid), 6) AS humidity_pct, "
+    "round(avg(temp), 6) AS temp_c FROM (SELECT event_type AS dataset, count(*)::DOUBLE AS wind, max(value) AS humid, count(DISTINCT user_id)::DOUBLE AS temp "
+    "FROM events GROUP BY event_type, date_trunc('hour', ts)) GROUP BY dataset))",
+    "wind_speed_ms:5 humidity_pct:5 temp_c:5",
+)(lambda s, d: regimes.label_clusters(_given_centres(s, d), list(_CUTS), _CUTS))
 register("label_clusters", None, "wind_speed_ms humidity_pct temp_c")(lambda s, d: _clusters(s, d, 4)[1])
 
 
