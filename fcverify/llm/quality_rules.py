@@ -110,8 +110,8 @@ def line_table(docs: DataFrame, id: str, text: str, host: str) -> DataFrame:
     """Per non-blank line: id, host, line (hash), words, and the hash of the document's longest line."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normalised), lambda x: x != "")
     rows = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), lines.alias("lines"))
-    hashed = F.transform("lines", lambda x: F.struct(F.length(x).alias("size"), F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
-    longest = F.array_max(hashed)["line"]
+    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
+    longest = F.xxhash64(F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("size"), x.alias("line"))))["line"])
     rows = rows.select("id", "host", hashed.alias("lines"), longest.alias("document"))
     return rows.select("id", "host", "document", F.explode("lines").alias("x")).select("id", "host", "document", "x.line", "x.words")
 
@@ -165,4 +165,34 @@ def op6_quality_rules(spark, sf_dir):
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_quality_rules": r"""
+WITH texts AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS raw FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts WHERE len(w) >= 8)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM windows) WHERE c > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, source, unnest(raw) AS line FROM texts)
+), named AS (
+  SELECT l.*, len(string_split(line, ' ')) AS words, max({'size': length(line), 'line': line}) OVER (PARTITION BY doc_id)['line'] AS document FROM lines l
+), hosts AS (SELECT source, count(DISTINCT document) AS n_documents FROM named GROUP BY source
+), frequent AS (
+  SELECT n.source, n.line FROM named n JOIN hosts h ON h.source IS NOT DISTINCT FROM n.source WHERE line <> document
+  GROUP BY n.source, n.line HAVING count(DISTINCT document) > 20 AND count(DISTINCT document) > any_value(n_documents) * 0.0005
+), removed AS (
+  SELECT n.doc_id, sum(words) AS n FROM named n JOIN frequent f ON f.line = n.line AND f.source IS NOT DISTINCT FROM n.source GROUP BY n.doc_id
+), counted AS (
+  SELECT x.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(raw) - len(list_distinct(raw)) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(m.n, 0)::BIGINT AS removed_words
+  FROM texts x LEFT JOIN repeats r ON r.doc_id = x.doc_id LEFT JOIN removed m ON m.doc_id = x.doc_id
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+  AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < 0.3 * n_words)) AS kept FROM counted""",
+}

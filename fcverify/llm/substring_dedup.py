@@ -127,4 +127,18 @@ def op3_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {"op3_substring_dedup": op3_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_substring_dedup": r"""
+WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM texts WHERE len(w) >= 35)
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)
+), kept AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.j) AS words, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM texts) p ANTI JOIN covered c ON c.doc_id = p.doc_id AND c.j = p.j
+  GROUP BY p.doc_id
+)
+SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id""",
+}
