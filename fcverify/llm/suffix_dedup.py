@@ -37,7 +37,7 @@ from fcverify.llm.words import as_bytes, byte_table, covered, prefix_hash, span_
 GRAM, SPAN = 40, 80
 PLACE_BITS = 23
 PIECE_BYTES = 1 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BLOCK_BYTES = 32 << 20
 SAMPLES_PER_BLOCK = 50
 ANCHORS, STRETCHES, MIXED, SUFFIXES = 1, 2, 3, 4
