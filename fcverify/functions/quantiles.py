@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fcverify.functions.scan import CHUNK, running
 
 # Most ranges that the values of one group are cut into.
-RANGES = 4096
+RANGES = 1024
 
 
 def _cumulative(df: DataFrame, keys: Sequence[str], value: str, chunk: int, ranges: int) -> DataFrame:
