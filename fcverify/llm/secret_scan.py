@@ -3,7 +3,11 @@
 Two first-order Markov models, of random strings and of ordinary identifiers, are trained from
 labelled samples: counts of character pairs with add-one smoothing. A token of ``MIN_TOKEN`` or more
 characters is a secret when the logarithm of its likelihood ratio, random against ordinary, exceeds
-``MARGIN`` per character. Spans of the fixed patterns always stay; the models add spans.
+``MARGIN`` per character. Where the whole token does not, its sub-runs count, so that a path or a key
+name glued to a secret does not hide it: the parts of ``MIN_TOKEN`` or more characters between the
+separators / = _ -, and the windows of ``MIN_TOKEN`` characters. Windows that overlap are one run; its
+ordinary ends are cut off where the sum of ratios above the margin is best, and it is then widened to
+whole parts. Spans of the fixed patterns always stay; the models add spans.
 
 Everything runs as DataFrame expressions: a pattern's spans come from the pieces between its matches
 and the matches themselves (both leftmost, non-overlapping), the ratio of a token from a table of
@@ -32,6 +36,8 @@ ACCESS_SIZE = 20
 HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that have 24 or more
 MIN_TOKEN = 20
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
+SEPARATORS = "/=_-"
+PART = rf"[A-Za-z0-9+]{{{MIN_TOKEN},}}"
 MARGIN = 0.5
 ALPHABET = 128
 SAMPLE_DOCS = 2000
@@ -107,6 +113,65 @@ def _spans(pieces: Column, found: Column) -> Column:
     return state["spans"]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _ordinary_end(scores: Column) -> Column:
+    """How many of the first pairs to leave out for the largest sum of the others above the margin."""
+    least = F.aggregate(
+        scores, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(0.0).alias("least"), F.lit(0).alias("cut")),
+        lambda s, x: _let(s["sum"] + x - MARGIN, lambda total: F.struct(
+            total.alias("sum"), (s["at"] + 1).alias("at"), F.least(s["least"], total).alias("least"),
+            F.when(total < s["least"], s["at"] + 1).otherwise(s["cut"]).alias("cut"))))
+    return least["cut"]
+
+
+def _window_runs(token: Column, scores: Column) -> Column:
+    """start, end of the runs of windows above the margin, within the token."""
+    pairs = MIN_TOKEN - 1
+    spans = "array<struct<start:int,end:int>>"
+    before = F.concat(F.array_repeat(F.lit(0.0), pairs), scores)
+    moves = F.zip_with(scores, F.slice(before, 1, F.size(scores)), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
+    nothing = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.array().cast(spans).alias("runs"))
+
+    def step(s, x):
+        at, hit = s["at"] + 1, (s["at"] + 1 >= pairs) & (s["sum"] + x["new"] - x["old"] > MARGIN * pairs)  # the window ends with character at
+        new = hit & (at - pairs > s["end"])
+        return F.struct(
+            (s["sum"] + x["new"] - x["old"]).alias("sum"), at.alias("at"), F.when(new, at - pairs).otherwise(s["start"]).alias("start"),
+            F.when(hit, at + 1).otherwise(s["end"]).alias("end"),
+            F.when(new & (s["end"] > 0), F.concat(s["runs"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["runs"]).alias("runs"))
+
+    runs = F.aggregate(moves, nothing, step, lambda s: F.when(
+        s["end"] > 0, F.concat(s["runs"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["runs"]))
+    cut = F.transform(runs, lambda r: F.struct(
+        (r["start"] + _ordinary_end(F.slice(scores, r["start"] + 1, pairs))).alias("start"),
+        (r["end"] - _ordinary_end(F.reverse(F.slice(scores, r["end"] - pairs, pairs)))).alias("end")))
+
+    def widened(r):
+        own = F.substring(token, r["start"] + 1, r["end"] - r["start"])
+        start = r["start"] + F.length(own) - F.length(F.ltrim(own, F.lit(SEPARATORS)))
+        end = r["end"] - F.length(own) + F.length(F.rtrim(own, F.lit(SEPARATORS)))
+        even = F.translate(token, SEPARATORS, "/" * len(SEPARATORS))
+        return F.struct(
+            (start - F.length(F.substring_index(F.substring(even, F.lit(1), start), "/", -1))).alias("start"),
+            (end + F.length(F.substring_index(F.substring(even, end + 1, F.length(token)), "/", 1))).alias("end"))
+
+    return F.filter(F.transform(cut, widened), lambda r: r["end"] - r["start"] >= MIN_TOKEN)
+
+
+def _joined(runs: Column) -> Column:
+    """Runs in order, those that overlap as one."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.aggregate(F.array_sort(runs), none, lambda s, x: F.when(
+        (F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["end"] > x["start"]),
+        F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.struct(
+            F.try_element_at(s, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(s, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(
+        F.concat(s, F.array(x))))
+
+
 def scan(docs: DataFrame, ratios: list[float], text: str = "text", out: str = "spans") -> DataFrame:
     """``docs`` with a column of its spans: array of start, kind (place in KINDS), end, sorted."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -118,16 +183,26 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", out: str = "s
     step = step.withColumn("__values", F.when(F.size("__assign") > 0, F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>")))
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
 
-    def ratio(token: Column) -> Column:
-        at = F.sequence(F.lit(1), F.length(token) - 1)
-        pair = lambda i: F.element_at(table, F.ascii(F.substring(token, i, F.lit(1))) * ALPHABET + F.ascii(F.substring(token, i + 1, F.lit(1))) + 1)
-        return F.aggregate(at, F.lit(0.0), lambda s, i: s + pair(i)) / (F.length(token) - 1)
+    def scores(token: Column) -> Column:
+        return _let(F.split(token, ""), lambda c: F.zip_with(
+            F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.element_at(table, F.ascii(a) * ALPHABET + F.ascii(b) + 1)))
+
+    def high(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda s, r: s + r) / F.size(x) > MARGIN
+
+    def parts(token: Column, x: Column) -> Column:
+        spans = _let(F.struct(*[c.alias(n) for c, n in zip(_matches(token, PART), ("pieces", "hits"), strict=True)]), lambda m: _spans(m["pieces"], m["hits"]))
+        return F.filter(spans, lambda r: high(F.slice(x, r["start"] + 1, r["end"] - r["start"] - 1)))
+
+    def secrets(token: Column) -> Column:
+        """start, end of what is random in a token: all of it, or its sub-runs."""
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.length(token).alias("end")))
+        return _let(scores(token), lambda x: F.when(high(x), whole).otherwise(_joined(F.concat(parts(token, x), _window_runs(token, x)))))
 
     good = {
         "assign": F.transform("__values", lambda v: F.length(v) >= ASSIGN_VALUE),
         "access": F.transform("__access", lambda m: F.length(m) >= ACCESS_SIZE),
         "hex": F.transform("__hex", lambda m: F.lit(True)),
-        "markov": F.transform("__markov", lambda m: ratio(m) > MARGIN),
     }
 
     def kind_spans(n: int, k: str) -> Column:
@@ -135,7 +210,12 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", out: str = "s
         return F.transform(F.filter(rows, lambda r: r["good"]), lambda r: F.struct(
             r["span"]["start"].alias("start"), F.lit(n).alias("kind"), r["span"]["end"].alias("end")))
 
-    spans = [kind_spans(n, k) for n, k in enumerate(KINDS)]
+    def markov_spans(n: int) -> Column:
+        rows = F.arrays_zip(_spans(F.col("__markov_pieces"), F.col("__markov")).alias("span"), F.transform("__markov", secrets).alias("own"))
+        return F.flatten(F.transform(rows, lambda r: F.transform(r["own"], lambda x: F.struct(
+            (r["span"]["start"] + x["start"]).alias("start"), F.lit(n).alias("kind"), (r["span"]["start"] + x["end"]).alias("end")))))
+
+    spans = [markov_spans(n) if k == "markov" else kind_spans(n, k) for n, k in enumerate(KINDS)]
     return step.withColumn(out, F.array_sort(F.concat(*spans))).drop("__values", *[f"__{k}" for k in kinds], *[f"__{k}_pieces" for k in kinds])
 
 

@@ -1,6 +1,8 @@
 """Quality rules, quality classifier, decontamination, licences and secrets."""
 
 import hashlib
+import random
+import string
 
 import numpy as np
 import pytest
@@ -109,6 +111,23 @@ def test_secret_spans(spark, docs, ratios):
     assert markov[54] == [(0, 24)] and not markov[55] and not markov[17]
 
 
+def test_secret_glued_to_ordinary_text(spark, ratios):
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    secrets = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(60)]
+    glue = [("", ""), ("client/service/config/", ""), ("client/service/config/update/session/request/", ""), ("client_service_private_key=", ""),
+            ("users/list/update/session/", "/request/update/session/token/index")]
+    data = [(len(secrets) * g + i, f"a {x}{s}{y} b", None, None, 0) for g, (x, y) in enumerate(glue) for i, s in enumerate(secrets)]
+    left = {r.doc_id: r.text for r in secret_scan.redact(fx.frame(spark, data), ratios).collect()}
+    alone = [i for i, s in enumerate(secrets) if s not in left[i]]
+    assert len(alone) > 55
+    for g, (x, y) in enumerate(glue):
+        assert [i for i in alone if left[len(secrets) * g + i] != f"a {x}[SECRET]{y} b" and secrets[i] in left[len(secrets) * g + i]] == []
+    plain = ["client/service/config/update/session/request/token/index", "users_list_update_session_private_key_number", "two/" + secrets[0] + "/update/session/request/token/index/count/table/column/" + secrets[1]]
+    found = [[(s.start, s.end) for s in r.spans] for r in secret_scan.scan(fx.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(plain)]), ratios, out="spans").orderBy("doc_id").collect()]
+    assert found[:2] == [[], []] and secrets[0] not in plain[2][:found[2][0][0]] and sum(e - s for s, e in found[2]) >= 48
+
+
 def test_redaction(spark, ratios):
     data = [(1, "a token = 'abcdef' b 🙂 0123456789abcdef01234567 c", None, None, 0), (2, None, None, None, 0), (3, "plain", None, None, 0)]
     found = {r.doc_id: r.text for r in secret_scan.redact(fx.frame(spark, data), ratios).collect()}
