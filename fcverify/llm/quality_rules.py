@@ -4,10 +4,9 @@ Base measures of every text (words, repeated words, duplicate lines, symbols) gi
 The method's verdict comes from lines that many documents of a host share:
 
 1. A line is normalised (lower case, digits to 0, white space runs to one space, trimmed) and hashed.
-2. Per host the distinct documents holding a line are counted. Documents with the same longest line
-   count as one: they are copies of one text, and copies alone must not turn that text's own lines
-   into boilerplate (near-dedup deals with them). So a line's count is the number of distinct longest
-   lines beside which it occurs, the line itself left out.
+2. Per host the distinct documents holding a line are counted, by a hash of the whole text: copies of
+   one text count as one, as copies alone must not turn that text's own lines into boilerplate
+   (near-dedup deals with them).
 3. Lines found in more than ``max(limit, share * documents of the host)`` documents are removed.
 4. A document is depleted, and rejected, when lines were removed and fewer than ``min_left`` words,
    or less than ``min_share`` of its words, are left.
@@ -107,18 +106,17 @@ def normalised(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id: str, text: str, host: str) -> DataFrame:
-    """Per non-blank line: id, host, line (hash), words, and the hash of the document's longest line."""
+    """Per non-blank line: id, host, line (hash), words, and the hash of the document's text."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normalised), lambda x: x != "")
-    rows = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), lines.alias("lines"))
+    rows = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), F.xxhash64(F.col(text)).alias("document"), lines.alias("lines"))
     hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
-    longest = F.xxhash64(F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("size"), x.alias("line"))))["line"])
-    rows = rows.select("id", "host", hashed.alias("lines"), longest.alias("document"))
+    rows = rows.select("id", "host", "document", hashed.alias("lines"))
     return rows.select("id", "host", "document", F.explode("lines").alias("x")).select("id", "host", "document", "x.line", "x.words")
 
 
 def frequent_lines(lines: DataFrame, limit: int = LIMIT, share: float = SHARE) -> DataFrame:
     """host, line of the lines in too many distinct documents of their host."""
-    seen = lines.filter("line <> document").groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
+    seen = lines.groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
     counts = seen.groupBy("host", "line").agg(F.count("one").alias("documents")).filter(F.col("documents") > limit)
     hosts = lines.groupBy("host", "document").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("of"))
     hosts = hosts.withColumnRenamed("host", "of_host")

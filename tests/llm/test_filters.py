@@ -41,6 +41,16 @@ def test_copies_do_not_reject_their_text(spark):
     assert all(r.kept for r in quality_rules.quality(fx.frame(spark, data)).collect())
 
 
+def test_shared_longest_line_depletes_documents(spark):
+    disclaimer = fx.words_text(1, 60, 10000)
+    data = [(i, f"page {100 + i}\nown {chr(97 + i % 26)}{chr(97 + i // 26)}\n{disclaimer}", None, "a", 0) for i in range(60)]
+    data += [(100 + i, disclaimer + "\none text", None, "b", 0) for i in range(60)]
+    found = {r.doc_id: r for r in quality_rules.quality(fx.frame(spark, data)).collect()}
+    assert all(found[i].removed_words == 62 and not found[i].kept for i in range(60))
+    assert all(found[100 + i].removed_words == 0 and found[100 + i].kept for i in range(60))
+    assert quality_rules.clean(fx.frame(spark, data)).filter("doc_id = 7").first().text == "own ha"
+
+
 def brute_containment(data, items):
     out = []
     for r in data:
