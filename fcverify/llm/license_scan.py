@@ -1,15 +1,19 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-A paragraph (a line of a text) is read in windows of up to ``WINDOW`` words, one starting at every
-half. Features are the lower-cased words and word pairs of the templates; a sparse multinomial
+Every line of a text, and every stretch of lines between blank ones (lines without a word), is read
+in windows of up to ``WINDOW`` words, one starting at every half. Features are the lower-cased words and word pairs of the templates; a sparse multinomial
 logistic regression over them gives each licence family and the class ``unknown`` a probability. It
 is trained here, on variants of the templates (words dropped, text around them) against ordinary
 paragraphs of a bounded sample of documents and sentences that use licence words for other things.
 A temperature fitted on held-out variants calibrates the probabilities.
 
-A window whose likeliest family is not ``unknown`` and has a probability of ``min_probability`` is
-confirmed when it holds at least ``min_similarity`` of the word pairs of one of the family's
-templates. Every paragraph of every text is scored; words that are no feature add nothing.
+A window counts when its families together have a probability of ``min_probability``. Its likeliest
+family, with that probability, is confirmed when the window holds at least ``min_similarity`` of the
+word pairs of one of the family's templates. The words so explained are set aside, and the other
+families are tried on the rest, the most similar first: they need the same similarity there, and to be
+the likeliest by the words that match. So one window can state several. Every line of every text is
+scored; words that are no feature add nothing. A paragraph is a line; a notice over several lines
+counts once per stretch, for the line where it starts or for those that are confirmed by themselves.
 
 Documents are scanned in place without a shuffle; the model is a few hundred kB. Defined cases: null
 and empty texts have no rows; a family that several paragraphs state gives one row; repeated rows
@@ -158,6 +162,15 @@ class Model:
     def probabilities(self, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return softmax((self.bias + sums / np.sqrt(np.maximum(sizes, 1))[:, None]) / self.temperature)
 
+    def of_words(self, h: np.ndarray) -> np.ndarray:
+        own = np.concatenate([h, pair_hash(h)])
+        at = np.minimum(np.searchsorted(self.features, own), len(self.features) - 1)
+        return self.probabilities(self.weights[at[self.features[at] == own]].sum(axis=0)[None], np.array([len(h)]))[0]
+
+    def similarity(self, k: int, pairs: np.ndarray) -> tuple[float, np.ndarray]:
+        """Share of the pairs of the family's template that is most like, and these pairs."""
+        return max(((float(np.isin(m, pairs).mean()), m) for m in self.pairs[k] if len(m)), key=lambda x: x[0])
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -236,14 +249,59 @@ def ordinary_paragraphs(docs: DataFrame, text: str = "text", size: int = SAMPLE_
     return sorted(plain.toArrow()["line"].to_pylist())
 
 
-def windows_of(w: Words, text_starts: np.ndarray, newline: np.ndarray, model: Model, screen: np.ndarray):
-    """Of one slice: text, paragraph, first and last word, class and probability of every window of a known family."""
+def densest(hits: np.ndarray) -> tuple[int, int]:
+    """First and last of the stretch with the most hits, a miss counting against two."""
+    best, total, start, found = 0, 0, 0, (0, 0)
+    for i, hit in enumerate(hits.tolist()):
+        if total <= 0:
+            total, start = 0, i
+        total += 1 if hit else -2
+        if total > best:
+            best, found = total, (start, i)
+    return found
+
+
+def stated(h: np.ndarray, p: np.ndarray, model: Model, min_probability: float, min_similarity: float):
+    """Family, probability, similarity and first word of every family that a window states."""
+    pairs = pair_hash(h)
+    free = np.ones(len(pairs), dtype=bool)
+    k = int(p.argmax())
+    likeliest = k if k < len(FAMILIES) - 1 and p[k] >= min_probability else None
+    open_ = set(range(len(FAMILIES) - 1))
+    while open_:
+        if likeliest is not None:
+            k, (similarity, template) = likeliest, model.similarity(likeliest, pairs)
+        else:
+            similarity, k, template = max(((s, -f, m) for f in open_ for s, m in [model.similarity(f, pairs[free])]), key=lambda x: x[:2])
+            k = -k
+            if similarity < min_similarity:
+                return
+        open_.discard(k)
+        a, e = densest(np.isin(pairs, template) & free)
+        if likeliest is not None:
+            q, good = float(p[k]), similarity >= min_similarity
+        else:
+            own = model.of_words(h[max(a - 2, 0):e + 4])
+            q, good = float(own[k]), int(own.argmax()) == k and own[k] >= min_probability
+        likeliest = None
+        if not good:
+            continue
+        yield k, q, similarity, a
+        while (left := model.similarity(k, pairs[free]))[0] >= min_similarity:
+            a, e = densest(np.isin(pairs, left[1]) & free)
+            free[a:e + 1] = False
+
+
+def windows_of(w: Words, text_starts: np.ndarray, newline: np.ndarray, model: Model, screen: np.ndarray,
+               min_probability: float = MIN_PROBABILITY, gap: int = 1):
+    """Of one slice: text, first and last line of the stretch, first and last word and probabilities of every window
+    that is likely to state a licence. A stretch ends where ``gap`` newlines follow each other without a word."""
     n, half = len(w), WINDOW // 2
     h = w.hashes[0]
     line = newline[w.starts]
     before = newline[text_starts]
     new = np.ones(n, dtype=bool)
-    new[1:] = (np.diff(w.text) != 0) | (np.diff(line) != 0)
+    new[1:] = (np.diff(w.text) != 0) | (np.diff(line) >= gap)
     first = np.flatnonzero(new)
     paragraph = np.cumsum(new) - 1
     block_new = new | ((np.arange(n) - first[paragraph]) % half == 0)
@@ -267,11 +325,12 @@ def windows_of(w: Words, text_starts: np.ndarray, newline: np.ndarray, model: Mo
     size[:-1] += sizes[1:] * follows[:-1]
     touched = np.flatnonzero(np.abs(total).sum(axis=1) > 0)
     p = model.probabilities(total[touched], size[touched])
-    kind = p.argmax(axis=1)
-    known = kind < len(FAMILIES) - 1
-    for b, k, q in zip(touched[known].tolist(), kind[known].tolist(), p[known].max(axis=1).tolist(), strict=True):
+    last = np.append(first[1:], n) - 1
+    known = 1 - p[:, -1] >= min_probability
+    for b, q in zip(touched[known].tolist(), p[known], strict=True):
         a, e = int(starts[b]), int(starts[b] + size[b])
-        yield int(w.text[a]), int(line[a] - before[w.text[a]]), a, e, k, q
+        own, at = int(w.text[a]), paragraph[a]
+        yield own, int(line[first[at]] - before[own]), int(line[last[at]] - before[own]), a, e, q
 
 
 def scan(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
@@ -290,15 +349,16 @@ def scan(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
                 if not len(w):
                     continue
                 newline = np.concatenate([[0], np.cumsum(t.bytes == 10)])
-                for i, paragraph, a, e, k, q in windows_of(w, t.bounds[:-1], newline, model, screen):
-                    if q < min_probability:
-                        continue
-                    own = pair_hash(w.hashes[0][a:e])
-                    similarity = max((np.isin(m, own).mean() for m in model.pairs[k]), default=0.0)
-                    if similarity >= min_similarity:
-                        best = found.setdefault((t.first + i, k), [0.0, 0.0, set()])
-                        best[0], best[1] = max(best[0], q), max(best[1], similarity)
-                        best[2].add(paragraph)
+                lines = newline[w.starts] - newline[t.bounds[:-1]][w.text]
+                for gap in (1, 2):
+                    for i, top, end, a, e, p in windows_of(w, t.bounds[:-1], newline, model, screen, min_probability, gap):
+                        if gap == 2 and lines[a] == lines[e - 1]:
+                            continue  # seen as a line
+                        for k, q, similarity, at in stated(w.hashes[0][a:e], p, model, min_probability, min_similarity):
+                            best = found.setdefault((t.first + i, k), [0.0, 0.0, set()])
+                            best[0], best[1] = max(best[0], q), max(best[1], similarity)
+                            if not any(top <= x <= end for x in best[2]):
+                                best[2].add(int(lines[a + at]))
             if found:
                 at = sorted(found)
                 yield pa.RecordBatch.from_arrays([

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import string
+import textwrap
 
 import numpy as np
 import pytest
@@ -97,6 +98,17 @@ def test_license_scan(spark):
     assert license_scan.ordinary_paragraphs(fx.frame(spark, [])) == []
 
 
+def test_wrapped_and_neighbouring_licences(spark):
+    model = license_scan.train([fx.words_text(i, 40) for i in range(200)])
+    long = [(f, n) for f, own in license_scan.TEMPLATES.items() for n in own if len(n) > 150]
+    data = [(i, f"{fx.words_text(i, 30)}\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(n, 74)) + f"\n *\n{fx.words_text(50 + i, 30)}", None, None, 0) for i, (_, n) in enumerate(long)]
+    data += [(100, "Licensed under the MIT License. Licensed under the Apache License, Version 2.0.", None, None, 0),
+             (101, "Licensed under CC BY-SA 4.0. See above. Licensed under CC BY-SA 4.0.", None, None, 0)]
+    found = license_scan.scan(fx.frame(spark, data), model).collect()
+    assert sorted((r.doc_id, r.family, r.n_paragraphs, 0 if r.first_paragraph == 0 else 2 <= r.first_paragraph <= 3) for r in found) == [
+        *((i, f, 1, True) for i, (f, _) in enumerate(long)), (100, "apache", 1, 0), (100, "mit", 1, 0), (101, "cc-by-sa", 1, 0)]
+
+
 def test_each_notice_is_recognised(spark):
     model = license_scan.train([fx.words_text(i, 40) for i in range(100)])
     notices = [(f, n) for f, own in license_scan.TEMPLATES.items() for n in own]
