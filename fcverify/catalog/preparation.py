@@ -458,8 +458,8 @@ register("seasonal_ridge_direct_seasonal", None, "y_true y_pred", "origin_date d
 
 @register("boosted_direct", None, "target y_pred", "ts")
 def _boosted(s, d):
-    samples = hourly.boosted_samples(T.hourly_grid(s, d), "holdout", (1, 24))
-    made = forecast.boosted_direct(samples, forecast.feature_names(), (1, 24), (0,), trees=5, depth=3)
+    samples = hourly.boosted_samples(T.hourly_grid(s, d))
+    made = forecast.boosted_direct(samples, forecast.feature_names(), hourly.HORIZONS, range(5))
     return made.select("dataset", "fold", "pos", "ts", "horizon", "target", "y_pred")
 
 

@@ -251,13 +251,16 @@ def boosted_direct(
     subsample: float = 0.9,
     seed: int = 42,
     save_to: str | None = None,
+    at_once: int = 4,
 ) -> DataFrame:
     """One Spark ML boosted model per (fold, horizon), pooled over all series.
 
     ``samples`` are complete rows with ``fold, role, horizon, target`` and the
     features; test rows come back with ``y_pred``. With ``save_to`` every fitted model
-    is written below that folder.
+    is written below that folder. ``at_once`` fits run side by side.
     """
+    from multiprocessing.pool import ThreadPool
+
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -266,14 +269,16 @@ def boosted_direct(
         featuresCol="__features", labelCol="target", predictionCol="y_pred",
         maxIter=trees, maxDepth=depth, stepSize=learning_rate, subsamplingRate=subsample, seed=seed,
     )
-    scored = []
-    for fold in folds:
-        for horizon in horizons:
-            part = rows.filter((F.col("fold") == fold) & (F.col("horizon") == horizon))
-            model = learner.fit(part.filter(F.col("role") == "train"))
-            if save_to is not None:
-                model.write().overwrite().save(f"{save_to}/fold={fold}/horizon={horizon}")
-            scored.append(model.transform(part.filter(F.col("role") == "test")))
+
+    def fitted(fold: int, horizon: int) -> DataFrame:
+        part = rows.filter((F.col("fold") == fold) & (F.col("horizon") == horizon))
+        model = learner.fit(part.filter(F.col("role") == "train"))
+        if save_to is not None:
+            model.write().overwrite().save(f"{save_to}/fold={fold}/horizon={horizon}")
+        return model.transform(part.filter(F.col("role") == "test"))
+
+    with ThreadPool(at_once) as pool:
+        scored = pool.starmap(fitted, [(fold, horizon) for fold in folds for horizon in horizons])
     return union_tables(scored).drop("__features")
 
 

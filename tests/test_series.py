@@ -152,6 +152,21 @@ def test_boosted_direct_has_no_leak_and_saves(spark, tmp_path):
     assert forecast.load_boosted(str(tmp_path), 0, 1).getNumTrees == 3
 
 
+def test_registered_boosted_direct_is_whole(spark, sf_dir, monkeypatch):
+    from fcverify.catalog import ENTRIES
+
+    fit = forecast.boosted_direct
+    asked = []
+
+    def small(samples, features, horizons, folds, **more):
+        asked.append(more)
+        return fit(samples, features, horizons, folds, trees=1, depth=1)
+
+    monkeypatch.setattr(forecast, "boosted_direct", small)
+    found = ENTRIES["boosted_direct"].spark(spark, sf_dir).select("fold", "horizon").distinct().collect()
+    assert asked == [{}] and {(r.fold, r.horizon) for r in found} == {(f, h) for f in range(5) for h in (1, 6, 24, 48)}
+
+
 def test_hourly_wide_file(spark):
     row = {"ESTACION": 24, "MAGNITUD": 10, "ANO": 2023, "MES": 1, "DIA": 1}
     row.update({f"H{h:02d}": h for h in range(1, 25)})
