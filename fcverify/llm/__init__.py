@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["substring_dedup", "suffix_dedup", "near_dedup", "packing", "quality_rules", "decontamination", "secret_scan", "quality_classifier", "license_scan", "html_extraction"]
+MODULES = ["substring_dedup", "suffix_dedup", "near_dedup", "packing", "quality_rules", "decontamination", "secret_scan", "quality_classifier", "license_scan", "html_extraction",
+           "token_alignment"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
