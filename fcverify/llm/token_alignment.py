@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,25 +45,33 @@ B_BITS = 32
 Window_ = tuple[tuple[int, ...], tuple[int, ...]]
 
 
-def align_window(a: tuple[int, ...], b: tuple[int, ...], size_a: list[bytes], size_b: list[bytes]) -> tuple[str, int, list[int]]:
+def align_window(a: tuple[int, ...], b: tuple[int, ...], size_a: list[int], size_b: list[int]) -> tuple[str, int, list[int]]:
     """Groups as text, their number, and the linked pairs (a << 32 | b) of tokens that cover the same bytes."""
+    if len(a) == 1 or len(b) == 1:  # one token covers all of the other side
+        links = [x << B_BITS | y for x in a for y in b]
+        return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1, links
     groups, links = [], []
-    i = j = from_i = from_j = 0
-    end_a, end_b = len(size_a[a[0]]), len(size_b[b[0]])
+    i = j = 0
+    own_a, own_b = str(a[0]), str(b[0])
+    end_a, end_b = size_a[a[0]], size_b[b[0]]
     while True:
         links.append(a[i] << B_BITS | b[j])
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a and step_b:
-            groups.append(f"{','.join(map(str, a[from_i:i + 1]))}|{','.join(map(str, b[from_j:j + 1]))}")
-            from_i, from_j = i + 1, j + 1
-            if from_i == len(a):
-                return ";".join(groups), len(groups), links
-        if step_a:
+        if end_a < end_b:
             i += 1
-            end_a += len(size_a[a[i]])
-        if step_b:
+            end_a += size_a[a[i]]
+            own_a = f"{own_a},{a[i]}"
+        elif end_b < end_a:
             j += 1
-            end_b += len(size_b[b[j]])
+            end_b += size_b[b[j]]
+            own_b = f"{own_b},{b[j]}"
+        else:
+            groups.append(f"{own_a}|{own_b}")
+            i, j = i + 1, j + 1
+            if i == len(a):
+                return ";".join(groups), len(groups), links
+            own_a, own_b = str(a[i]), str(b[j])
+            end_a += size_a[a[i]]
+            end_b += size_b[b[j]]
 
 
 class Aligner:
@@ -72,7 +81,10 @@ class Aligner:
         self.encode_a, self.encode_b = token_ids.byte_level(file_a, True), token_ids.piece_level(model_b)
         self.bytes_a, self.bytes_b = token_ids.byte_level_bytes(file_a), token_ids.piece_bytes(model_b)
         self.space_a = np.array([t.startswith(b" ") for t in self.bytes_a])
+        self.size_a, self.size_b = ([len(t) for t in table] for table in (self.bytes_a, self.bytes_b))
+        #: remembered windows; those of the last but one generation are kept as long as this one fills
         self.known: dict[Window_, tuple[str, int, list[int]]] = {}
+        self.older: dict[Window_, tuple[str, int, list[int]]] = {}
 
     def tokens(self, value: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both, or None where the text counts as without tokens."""
@@ -119,14 +131,16 @@ class Aligner:
         return one, kind
 
     def aligned(self, a, b, wa, wb, one) -> list[tuple[str, int, list[int]]]:
+        """What each kind of window gives; ``one`` is a window of each."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         out = []
-        for w in one.tolist():
-            key = (tuple(a[wa[w]:wa[w + 1]].tolist()), tuple(b[wb[w]:wb[w + 1]].tolist()))
+        a, b = a.tolist(), b.tolist()
+        for p, q, r, s in zip(*(x.tolist() for x in (wa[one], wa[one + 1], wb[one], wb[one + 1])), strict=True):
+            key = (tuple(a[p:q]), tuple(b[r:s]))
             found = self.known.get(key)
             if found is None:
-                found = self.known[key] = align_window(*key, self.bytes_a, self.bytes_b)
+                found = self.known[key] = self.older.get(key) or align_window(*key, self.size_a, self.size_b)
             out.append(found)
         return out
 
@@ -162,7 +176,7 @@ def slice_rows(tool: Aligner, values: list[str | None], groups: bool) -> tuple[d
     text = [k[0] for k in known]
     count = np.array([k[1] for k in known])
     size = np.array([len(k[2]) for k in known])
-    pairs, number = np.unique(np.concatenate([np.array(k[2], dtype=np.int64) for k in known]), return_inverse=True)
+    pairs, number = np.unique(np.fromiter(chain.from_iterable(k[2] for k in known), dtype=np.int64), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(size)])
 
     total = size[kind]  # links of each window, then the number of every link and its document

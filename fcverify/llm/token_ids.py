@@ -18,7 +18,7 @@ import numpy as np
 
 #: A single space between characters that no tokenizer counts as white space.
 CUT = re.compile("(?<=[!-~À-ÿ]) (?=[!-~À-ÿ])")
-MEMORY, TOGETHER = 300_000, 2000
+MEMORY, TOGETHER = 200_000, 2000
 #: Stretches that may stand next to others: their ends are such characters.
 VISIBLE = re.compile("[!-~À-ÿ](?s:.*[!-~À-ÿ])?")
 PIECE_SPACE = "▁"
