@@ -8,7 +8,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["substring_dedup", "suffix_dedup", "near_dedup", "packing", "quality_rules", "decontamination", "secret_scan", "quality_classifier", "license_scan", "html_extraction",
-           "token_alignment"]
+           "token_alignment", "spelling_variants", "toxicity"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
