@@ -17,8 +17,8 @@ at most ``MOST``; a row of features longer than ``SOME`` is scaled to length 1,
 text with two toxic words counts nearly like one with twenty, and a long text is not toxic for being long.
 
 The fit uses at most ``POSITIVES`` toxic training rows and ``UNLABELLED`` other rows (documented bounds),
-those with the smallest hashes of id and text, reduced to their features before they reach the driver.
-Word statistics, the prior and the scores cover every row.
+picked by hashes and reduced to their features before they reach the driver. Only the ids of these
+positives are broadcast. Word statistics, the prior and the scores cover every row.
 
 Rows with ``crc32(id as text) % 5 == 0`` are held out: their labels are never read, and their texts are no
 training text. Labels, id and other columns are not inputs of a score. Defined cases: null and empty texts
@@ -202,9 +202,12 @@ def trained(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     """Chosen buckets and the classifier."""
     known = settle(labels.select(F.col(id).alias("of"), F.col(label).cast("int").alias("label")).filter(
         F.col("of").isNotNull() & F.col("label").isin(0, 1) & ~held_out("of")).groupBy("of").agg(F.max("label").alias("label")))
-    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(~held_out("id"))
-    rows = own.join(known, F.col("id") == F.col("of"), "left").select("id", "text", (F.coalesce("label", F.lit(0)) == 1).alias("positive"))
     share = known.agg(F.avg("label").alias("m")).first()["m"] or 0.0
+    # a bounded number of ids, so the texts stay where they are
+    sure = settle(known.filter("label = 1").orderBy(F.xxhash64("of"), "of").limit(positives).select("of"))
+    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(~held_out("id"))
+    rows = own.join(F.broadcast(sure), F.col("id") == F.col("of"), "left").select(
+        "text", F.col("of").isNotNull().alias("positive"), F.xxhash64("id", "text", F.monotonically_increasing_id()).alias("order"))
     counts = settle(bucket_documents(rows, "text", "positive"))
     total = counts.filter("bucket = -1").first()
     none = np.zeros(0, dtype=np.int64)
@@ -217,13 +220,17 @@ def trained(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
             r = features_of(batch.column(0), chosen)
             made = [(r.at[a:b].astype("<i4").tobytes(), r.values[a:b].astype("<f4").tobytes()) for a, b in zip(r.bounds, r.bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())],
-                                             ["positive", "at", "values"])
+                                             ["order", "at", "values"])
+
+    def sample(sure: bool, of: int, most: int):
+        """Rows with the smallest hashes; those that cannot be among them are left out before their features are made."""
+        part = F.pmod(F.col("order"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * most / of))
+        reduced = rows.filter(F.col("positive") == sure).filter(part).select("text", F.pmod(F.col("order"), F.lit(1 << 30))).mapInArrow(
+            reduce, "order long, at binary, values binary")
+        return _rows(reduced.orderBy("order", "at", "values").limit(most).collect())
 
-    order = [F.xxhash64("id", "text"), F.col("id")]
-    sample = [rows.filter(F.col("positive") == sure).orderBy(*order).limit(most).select("text", "positive").mapInArrow(
-        reduce, "positive boolean, at binary, values binary").collect() for sure, most in ((True, positives), (False, unlabelled))]
     # unlabelled text as it comes: other rows and, at their share, positives
-    p, u = (_rows(r) for r in sample)
+    p, u = sample(True, total["p"], positives), sample(False, total["n"] - total["p"], unlabelled)
     draw = np.random.default_rng(SEED)
     again = p.take(draw.integers(len(p), size=max(1, round(len(u) * total["p"] / (total["n"] - total["p"])))))
     return chosen, fit(p, u.and_rows(again), len(chosen), share)
