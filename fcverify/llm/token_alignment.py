@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,76 +40,50 @@ from fcverify.session import settle
 SLICE_BYTES = 4 << 20
 REMEMBERED = 200_000
 B_BITS = 32
-
-Window_ = tuple[tuple[int, ...], tuple[int, ...]]
-
-
-def align_window(a: tuple[int, ...], b: tuple[int, ...], size_a: list[int], size_b: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text, their number, and the linked pairs (a << 32 | b) of tokens that cover the same bytes."""
-    if len(a) == 1 or len(b) == 1:  # one token covers all of the other side
-        links = [x << B_BITS | y for x in a for y in b]
-        return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1, links
-    groups, links = [], []
-    i = j = 0
-    own_a, own_b = str(a[0]), str(b[0])
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        links.append(a[i] << B_BITS | b[j])
-        if end_a < end_b:
-            i += 1
-            end_a += size_a[a[i]]
-            own_a = f"{own_a},{a[i]}"
-        elif end_b < end_a:
-            j += 1
-            end_b += size_b[b[j]]
-            own_b = f"{own_b},{b[j]}"
-        else:
-            groups.append(f"{own_a}|{own_b}")
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups), len(groups), links
-            own_a, own_b = str(a[i]), str(b[j])
-            end_a += size_a[a[i]]
-            end_b += size_b[b[j]]
-
+#: Stands between the ids of A and B in the key of a window; no id has this value.
+BETWEEN = b"\xff\xff\xff\xff"
 
 class Aligner:
     """Both tokenizers and the remembered windows."""
 
     def __init__(self, file_a: str, model_b: str):
-        self.encode_a, self.encode_b = token_ids.byte_level(file_a, True), token_ids.piece_level(model_b)
-        self.bytes_a, self.bytes_b = token_ids.byte_level_bytes(file_a), token_ids.piece_bytes(model_b)
-        self.space_a = np.array([t.startswith(b" ") for t in self.bytes_a])
-        self.size_a, self.size_b = ([len(t) for t in table] for table in (self.bytes_a, self.bytes_b))
-        #: remembered windows; those of the last but one generation are kept as long as this one fills
-        self.known: dict[Window_, tuple[str, int, list[int]]] = {}
-        self.older: dict[Window_, tuple[str, int, list[int]]] = {}
+        self.tools = [token_ids.byte_level(file_a, True), token_ids.piece_level(model_b)]
+        self.encoder = token_ids.Encoder(self.tools)
+        self.usable = all(t.sizes.all() for t in self.tools)
+        self.sizes = [t.sizes for t in self.tools]
+        #: ids as text, each with what follows it: inside a group, and at the end of its side of the group
+        self.names = [f"{i}{sign}" for i in range(len(self.sizes[0])) for sign in ",|"] + [f"{i}{sign}" for i in range(len(self.sizes[1])) for sign in ",;"]
+        self.space_a = np.array([t.startswith(b" ") for t in self.tools[0].tokens])
+        #: groups by the packed id tuples; those of the last but one generation are kept as long as this one fills
+        self.known: dict[bytes, str] = {}
+        self.older: dict[bytes, str] = {}
 
     def tokens(self, value: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both, or None where the text counts as without tokens."""
         if not value:
             return None
-        a, b = self.encode_a.ids(value, " "), self.encode_b.ids(value)
-        whole = b" " + value.encode()
-        same = all(b"".join(map(table.__getitem__, ids.tolist())) == whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-        return (a, b) if same and self.encode_a.sizes[a].all() and self.encode_b.sizes[b].all() else None
+        found = self.encoder.after_space(value)
+        for tool, (ids, exact) in zip(self.tools, found, strict=True):
+            if not exact and tool.bytes_of(ids.tolist()) != b" " + value.encode() or not self.usable and not tool.sizes[ids].all():
+                return None
+        return found[0][0], found[1][0]
 
     def windows(self, made: list[tuple[np.ndarray, np.ndarray]]):
-        """Ids of all texts joined, first tokens of the windows in both (and the ends), first window of each text."""
+        """Ids of all texts joined, first tokens of the windows in both (and the ends), first window and groups of each text."""
         a, b = (np.concatenate([m[i] for m in made]) for i in (0, 1))
-        ends_a, ends_b = np.cumsum(self.encode_a.sizes[a]), np.cumsum(self.encode_b.sizes[b])
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         at = np.zeros(int(ends_a[-1]) + 1, dtype=bool)
         at[ends_b] = True
         shared = at[ends_a]
-        last = np.zeros(len(a), dtype=bool)
-        last[np.cumsum([len(m[0]) for m in made]) - 1] = True
-        anchor = shared & last
-        anchor[:-1] |= shared[:-1] & self.space_a[a[1:]]
+        bounds = np.cumsum([0, *[len(m[0]) for m in made]])
+        anchor = np.zeros(len(a), dtype=bool)
+        anchor[:-1] = shared[:-1] & self.space_a[a[1:]]
+        anchor[bounds[1:] - 1] = True  # whole texts have the same bytes
         edge_a = np.flatnonzero(anchor) + 1
         edge_b = np.searchsorted(ends_b, ends_a[edge_a - 1]) + 1
-        first = np.searchsorted(edge_a, np.cumsum([0, *[len(m[0]) for m in made]]), "left")
-        first[1:] += 1  # the edge at a text's end closes its last window
-        return a, b, np.concatenate([[0], edge_a]), np.concatenate([[0], edge_b]), first
+        first = np.concatenate([[0], np.searchsorted(edge_a, bounds[1:]) + 1])
+        groups = np.diff(np.concatenate([[0], np.cumsum(shared)])[bounds])
+        return a, b, np.concatenate([[0], edge_a]), np.concatenate([[0], edge_b]), first, groups
 
     def distinct(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One window of each kind, and the kind of every window; hashes propose, equal ids decide."""
@@ -124,26 +97,61 @@ class Aligner:
                 inner = np.arange(len(ids)) - np.repeat(w[:-1], size)
                 same = ids == ids[np.repeat(w[:-1][one[kind]], size) + inner]
             if not same.all():  # two windows share a hash: tell them apart by their ids
-                seen: dict[Window_, int] = {}
+                seen: dict[tuple, int] = {}
                 kind = np.array([seen.setdefault((tuple(a[p:q].tolist()), tuple(b[r:s].tolist())), len(seen))
                                  for p, q, r, s in zip(wa, wa[1:], wb, wb[1:], strict=False)])
                 return np.unique(kind, return_index=True)[1], kind
         return one, kind
 
-    def aligned(self, a, b, wa, wb, one) -> list[tuple[str, int, list[int]]]:
-        """What each kind of window gives; ``one`` is a window of each."""
+    def groups(self, a, b, wa, wb, one) -> list[str]:
+        """Groups of each kind of window; ``one`` is a window of each."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        out = []
-        a, b = a.tolist(), b.tolist()
-        for p, q, r, s in zip(*(x.tolist() for x in (wa[one], wa[one + 1], wb[one], wb[one + 1])), strict=True):
-            key = (tuple(a[p:q]), tuple(b[r:s]))
-            found = self.known.get(key)
-            if found is None:
-                found = self.known[key] = self.older.get(key) or align_window(*key, self.size_a, self.size_b)
-            out.append(found)
+        bytes_a, bytes_b = a.tobytes(), b.tobytes()
+        keys = [bytes_a[p:q] + BETWEEN + bytes_b[r:s] for p, q, r, s in zip(
+            *((4 * x).tolist() for x in (wa[one], wa[one + 1], wb[one], wb[one + 1])), strict=True)]
+        out = [self.known.get(k) or self.older.get(k) for k in keys]
+        new = [i for i, found in enumerate(out) if found is None]
+        if new:
+            for i, found in zip(new, self.align(a, b, wa, wb, one[new]), strict=True):
+                out[i] = found
+        self.known.update(zip(keys, out, strict=True))
         return out
 
+    def _gathered(self, a, b, wa, wb, one):
+        """Per side: the ids of some windows joined, their byte ends, and the end of each window."""
+        for own, w, sizes in ((a, wa, self.sizes[0]), (b, wb, self.sizes[1])):
+            size = (w[1:] - w[:-1])[one]
+            last = np.cumsum(size)
+            ids = own[np.arange(last[-1]) + np.repeat(w[one] - last + size, size)].astype(np.int64)
+            yield ids, np.cumsum(sizes[ids]), last
+
+    def align(self, a, b, wa, wb, one) -> list[str]:
+        """Groups of some windows as text: tokens up to each end that both sides share, those of A first."""
+        (ids_a, ends_a, last_a), (ids_b, ends_b, last_b) = self._gathered(a, b, wa, wb, one)
+        at = np.zeros((2, int(ends_a[-1]) + 1), dtype=bool)
+        at[0, ends_a] = at[1, ends_b] = True
+        closes_a, closes_b = at[1, ends_a], at[0, ends_b]
+        stop_a, stop_b = (np.flatnonzero(c) + 1 for c in (closes_a, closes_b))  # tokens up to the end of each group
+        group_a, group_b = (np.cumsum(c) - c for c in (closes_a, closes_b))
+        names = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        names[np.arange(len(ids_a)) + np.concatenate([[0], stop_b])[group_a]] = 2 * ids_a + closes_a
+        names[np.arange(len(ids_b)) + stop_a[group_b]] = 2 * (len(self.sizes[0]) + ids_b) + closes_b
+        made, ends = list(map(self.names.__getitem__, names.tolist())), (last_a + last_b).tolist()
+        return ["".join(made[p:q])[:-1] for p, q in zip([0, *ends], ends, strict=False)]
+
+    def links(self, a, b, wa, wb, one) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs (a << 32 | b) of the windows ``one``, and how many each has.
+
+        Every end of a token of either side closes one link: that of the two tokens before it.
+        """
+        (ids_a, ends_a, last_a), (ids_b, ends_b, _) = self._gathered(a, b, wa, wb, one)
+        closes = np.zeros(int(ends_a[-1]) + 1, dtype=bool)
+        closes[ends_a] = closes[ends_b] = True
+        at = np.flatnonzero(closes)
+        pairs = ids_a[np.searchsorted(ends_a, at)] << B_BITS | ids_b[np.searchsorted(ends_b, at)]
+        return pairs, np.diff(np.searchsorted(at, ends_a[last_a - 1], "right"), prepend=0)
+
 
 @lru_cache(maxsize=1)
 def aligner(file_a: str, model_b: str) -> Aligner:
@@ -170,13 +178,11 @@ def slice_rows(tool: Aligner, values: list[str | None], groups: bool) -> tuple[d
     found = [(i, t) for i, v in enumerate(values) if (t := tool.tokens(v)) is not None]
     if not found:
         return out, b""
-    a, b, wa, wb, first = tool.windows([t for _, t in found])
+    a, b, wa, wb, first, count = tool.windows([t for _, t in found])
     one, kind = tool.distinct(a, b, wa, wb)
-    known = tool.aligned(a, b, wa, wb, one)
-    text = [k[0] for k in known]
-    count = np.array([k[1] for k in known])
-    size = np.array([len(k[2]) for k in known])
-    pairs, number = np.unique(np.fromiter(chain.from_iterable(k[2] for k in known), dtype=np.int64), return_inverse=True)
+    text = tool.groups(a, b, wa, wb, one)
+    pairs, size = tool.links(a, b, wa, wb, one)
+    pairs, number = np.unique(pairs, return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(size)])
 
     total = size[kind]  # links of each window, then the number of every link and its document
@@ -186,12 +192,11 @@ def slice_rows(tool: Aligner, values: list[str | None], groups: bool) -> tuple[d
     held, times = np.unique(document * len(pairs) + number[where], return_counts=True)
     document, held = held // len(pairs), held % len(pairs)
     of = np.searchsorted(document, np.arange(len(found) + 1))
-    group_sum = np.concatenate([[0], np.cumsum(count[kind])])
     kinds = kind.tolist()
     for k, (i, (ids_a, ids_b)) in enumerate(found):
         joined = ";".join(map(text.__getitem__, kinds[first[k]:first[k + 1]]))
         out["n_a"][i], out["n_b"][i] = len(ids_a), len(ids_b)
-        out["n_groups"][i] = int(group_sum[first[k + 1]] - group_sum[first[k]])
+        out["n_groups"][i] = int(count[k])
         out["n_links"][i] = int(links_first[k + 1] - links_first[k])
         out["groups_sha256"][i] = hashlib.sha256(joined.encode()).hexdigest()
         out["links"][i] = _pack_links(held[of[k]:of[k + 1]], times[of[k]:of[k + 1]])
