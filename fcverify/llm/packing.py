@@ -14,14 +14,14 @@ A piece's rank within its length picks its pattern repeat, so placing is a looku
 bounded size; ranks come from salted groups, as one length may hold a third of all pieces.
 
 Defined cases: null text is empty and has the end id alone; repeated rows are separate documents; a
-null id is an id like any other; a text that holds the name of an added token is encoded by the
-library itself; an empty table packs to no rows; other columns are not read.
+null id is an id like any other; a text that holds the name of an added token gets its id, as the
+library does it; runs of white space may be as long as a text can be; an empty table packs to no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -29,42 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fcverify.llm import token_ids
 from fcverify.session import settle
 
 CAPACITY = 2048
 MIDDLE_LENGTHS = 48
 FIT_STEPS = 400
 SALT_ROWS = 50_000
-#: Split of the byte-level vocabulary's pre-tokenizer (fixed value).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """Function text -> ids for a byte-level BPE file of ``tokenizers``.
-
-    Its vocabulary runs in tiktoken, which gives the same ids several times faster; texts that hold
-    an added token go through ``tokenizers``.
-    """
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    with open(path, encoding="utf-8") as file:
-        made = json.load(file)
-    added = [t["content"] for t in made["added_tokens"]]
-    # the file writes bytes as printable characters: those of Latin-1 as themselves, others from 256 on
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    signs = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
-    ranks = {bytes(signs[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in added}
-    fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(path)
-
-    def encode(text: str) -> np.ndarray:
-        if any(a in text for a in added):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return np.array(fast.encode_ordinary(text), dtype=np.uint32)
-
-    return encode
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Function text -> ids of a byte-level BPE file of ``tokenizers``, run by that library."""
+    return token_ids.Encoder([token_ids.byte_level(path)]).ids
 
 
 def pieces(docs: DataFrame, tokenizer: str, id: str, text: str, capacity: int, end_id: int, tokens: bool) -> DataFrame:

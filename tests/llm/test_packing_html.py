@@ -41,6 +41,18 @@ def assert_gapless(found, capacity):
     return len(sequences)
 
 
+def test_long_white_space_is_packed_by_the_librarys_ids(spark):
+    from tokenizers import Tokenizer
+
+    data = [(i, t, None, None, 0) for i, t in enumerate([" " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 300_000 + "b c"])]
+    found = packing.pack(fx.frame(spark, data), PATH).collect()
+    slow = Tokenizer.from_file(PATH)
+    for i, t, *_ in data:
+        ids = np.array([*slow.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted((r.start, r.length, r.ids_crc32) for r in found if r.doc_id == i)
+        assert own == [(a, n, zlib.crc32(ids[a:a + n].tobytes())) for a, n, _ in own] and sum(n for _, n, _ in own) == len(ids)
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack(fx.frame(spark, []), PATH).count() == 0
 
