@@ -4,37 +4,43 @@ Base measures of every text (words, repeated words, duplicate lines, symbols) gi
 The method's verdict comes from lines that many documents of a host share:
 
 1. A line is normalised (lower case, digits to 0, white space runs to one space, trimmed) and hashed.
-2. Per host the distinct documents holding a line are counted, by a hash of the whole text: copies of
-   one text count as one, as copies alone must not turn that text's own lines into boilerplate
-   (near-dedup deals with them).
+2. Per host the distinct documents holding a line are counted. A document is its text here: copies of one
+   text count as one, as copies alone must not turn that text's own lines into boilerplate (near-dedup
+   deals with them).
 3. Lines found in more than ``max(limit, share * documents of the host)`` documents are removed.
 4. A document is depleted, and rejected, when lines were removed and fewer than ``min_left`` words,
    or less than ``min_share`` of its words, are left.
 
-Counting is two aggregations with partial sums: first distinct (host, line, document), then per
-(host, line), so neither a host with a third of all rows nor a line in most documents meets in one
-task. Only lines above the limit are joined back.
+What is removed from a text, and the verdict, depend on host and text alone. They are worked out once per
+distinct (host, text), named by 128 bits of hashes, and joined back to every row, whatever its id. Texts are
+parsed once (``parsed``); counting is two aggregations with partial sums, so neither a host with a third of all
+rows nor a line in most documents meets in one task. Adaptive execution splits a text that is a third of all
+rows where rows are joined back.
 
-Defined cases: null text has no words and fails the base rule; a null host is a host of its own;
-repeated rows share one verdict where the id is equal and are judged alike anyway; other columns
-pass through untouched in ``clean`` and are not read by ``quality``.
+Defined cases: null text has no words and fails the base rule; a null host is a host of its own; repeated rows,
+repeated and null ids are judged row by row; other columns pass through untouched in ``clean`` and ``judged``, whatever
+their names, and are not read by ``quality``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from fcverify.llm.words import U64, Texts, covered, texts
+from fcverify.llm.words import Texts, covered, texts
+from fcverify.session import settle
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 LIMIT = 20
 SHARE = 0.0005
-MIN_SHARE, MIN_LEFT = 0.3, 10
+MIN_SHARE, MIN_LEFT = 0.6, 20
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -84,77 +90,135 @@ def _repeat_words(w, n: int) -> np.ndarray:
     return total[w.first[1:]] - total[w.first[:-1]]
 
 
-def base_measures(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id and the five counts."""
-    kind = docs.schema[id].dataType.simpleString()
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def run(batches):
-        for batch in batches:
-            made = [measure(t) for t in texts(batch.column(1))]
-            if made:
-                columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*made, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_DIGITS = bytes(48 if 48 <= i <= 57 else i for i in range(256))
 
-    schema = f"id {kind}, " + ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col(id), F.col(text)).mapInArrow(run, schema)
 
-
-def normalised(line: Column) -> Column:
+def normalised(line: bytes) -> bytes:
     """Lower case, digits to 0, white space runs to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), "[\\x20\\x09-\\x0D]+", " "))
-
+    low = line.lower() if line.isascii() else line.decode().lower().encode()
+    return b" ".join(low.translate(_DIGITS).split())
+
+
+def line_words(text: bytes) -> dict[int, int]:
+    """Hash of each distinct normalised line with a word, and the words of all its occurrences."""
+    out: dict[int, int] = {}
+    for raw in text.split(b"\n"):
+        line = normalised(raw)
+        if line:
+            key = line_hash(line)
+            out[key] = out.get(key, 0) + line.count(b" ") + 1
+    return out
 
-def line_table(docs: DataFrame, id: str, text: str, host: str) -> DataFrame:
-    """Per non-blank line: id, host, line (hash), words, and the hash of the document's text."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normalised), lambda x: x != "")
-    rows = docs.select(F.col(id).alias("id"), F.col(host).alias("host"), F.xxhash64(F.col(text)).alias("document"), lines.alias("lines"))
-    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
-    rows = rows.select("id", "host", "document", hashed.alias("lines"))
-    return rows.select("id", "host", "document", F.explode("lines").alias("x")).select("id", "host", "document", "x.line", "x.words")
 
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
-def frequent_lines(lines: DataFrame, limit: int = LIMIT, share: float = SHARE) -> DataFrame:
-    """host, line of the lines in too many distinct documents of their host."""
-    seen = lines.groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
-    counts = seen.groupBy("host", "line").agg(F.count("one").alias("documents")).filter(F.col("documents") > limit)
-    hosts = lines.groupBy("host", "document").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("of"))
-    hosts = hosts.withColumnRenamed("host", "of_host")
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).filter(
-        F.col("documents") > F.col("of") * share).select("host", "line")
 
+def _named(docs: DataFrame, text: str, host: str) -> list[Column]:
+    """host_key, d1, d2: what the verdict of a row depends on."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    return [F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("host_key"),
+            F.xxhash64(value).alias("d1"), F.xxhash64(F.lit(7), value).alias("d2")]
 
-def frequent_in(docs: DataFrame, id: str, text: str, host: str, limit: int, share: float) -> DataFrame:
-    """id, line, words of every occurrence of a frequent line."""
-    lines = line_table(docs, id, text, host)
-    frequent = frequent_lines(lines, limit, share).toDF("f_host", "f_line")
-    hit = lines.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
-    return hit.select("id", "line", "words")
 
+def parsed(docs: DataFrame, id: str, text: str, host: str) -> DataFrame:
+    """Per row: id, host_key, d1, d2, the five counts, and lines (line, words); written once."""
+    kind = docs.schema[id].dataType.simpleString()
+    line_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
 
-def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source",
-          limit: int = LIMIT, share: float = SHARE) -> DataFrame:
-    """``docs`` with the frequent lines of their host cut out of the text."""
-    gone = frequent_in(docs, id, text, host, limit, share).groupBy("id").agg(F.collect_set("line").alias("__lines"))
-    gone = gone.withColumnRenamed("id", "__id")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(normalised(x)))), "\n")
-    return docs.join(gone, F.col(id).eqNullSafe(F.col("__id")), "left").withColumn(
-        text, F.when(F.col("__lines").isNull(), F.col(text)).otherwise(left)).drop("__id", "__lines")
+    def run(batches):
+        for batch in batches:
+            made = [measure(t) for t in texts(batch.column(4))]
+            if not made:
+                continue
+            columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*made, strict=True)]
+            own = [line_words(v.encode()) if v else {} for v in batch.column(4).to_pylist()]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
+            items = pa.StructArray.from_arrays([pa.array([k for x in own for k in x], pa.int64()), pa.array([w for x in own for w in x.values()], pa.int64())], ["line", "words"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], *columns, pa.ListArray.from_arrays(offsets, items).cast(line_type)],
+                                             ["id", "host_key", "d1", "d2", *MEASURES, "lines"])
+
+    schema = f"id {kind}, host_key string, d1 long, d2 long, " + ", ".join(f"{n} long" for n in MEASURES) + ", lines array<struct<line:bigint,words:bigint>>"
+    return settle(docs.select(F.col(id), *_named(docs, text, host), F.col(text)).mapInArrow(run, schema))
+
+
+def frequent_lines(found: DataFrame, limit: int = LIMIT, share: float = SHARE) -> DataFrame:
+    """host_key, line of the lines in too many of the distinct documents of their host (host_key, d1, d2, lines)."""
+    counts = found.select("host_key", F.explode("lines.line").alias("line")).groupBy("host_key", "line").agg(
+        F.count("*").alias("documents")).filter(F.col("documents") > limit)
+    hosts = found.filter(F.size("lines") > 0).groupBy(F.col("host_key").alias("of_host")).agg(F.count("*").alias("of"))
+    return counts.join(hosts, F.col("host_key") == F.col("of_host")).filter(F.col("documents") > F.col("of") * share).select("host_key", "line")
+
+
+def removals(rows: DataFrame, limit: int, share: float) -> DataFrame:
+    """of_host, of_d1, of_d2, removed_words and gone (hashes of the lines) of each distinct document that loses lines."""
+    found = rows.groupBy("host_key", "d1", "d2").agg(F.first("lines").alias("lines"))
+    frequent = frequent_lines(found, limit, share).toDF("f_host", "f_line")
+    lines = found.select("host_key", "d1", "d2", F.explode("lines").alias("x"))
+    hit = lines.join(frequent, (F.col("x.line") == F.col("f_line")) & (F.col("host_key") == F.col("f_host")))
+    return hit.groupBy(F.col("host_key").alias("of_host"), F.col("d1").alias("of_d1"), F.col("d2").alias("of_d2")).agg(
+        F.sum("x.words").alias("removed_words"), F.collect_list("x.line").alias("gone"))
+
+
+def verdicts(rows: DataFrame, min_words: int, limit: int, share: float, min_share: float, min_left: int) -> DataFrame:
+    """``rows`` with base_failed, removed_words, gone, kept."""
+    gone = removals(rows, limit, share)
+    same = (F.col("host_key") == F.col("of_host")) & (F.col("d1") == F.col("of_d1")) & (F.col("d2") == F.col("of_d2"))
+    joined = rows.drop("lines").join(gone, same, "left").drop("of_host", "of_d1", "of_d2").withColumn(
+        "removed_words", F.coalesce("removed_words", F.lit(0)))
+    n, removed = F.col("n_words"), F.col("removed_words")
+    left = n - removed
+    failed = (n < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    depleted = (removed > 0) & ((left < min_left) | (left < min_share * n))
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
 
 
 def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS,
             limit: int = LIMIT, share: float = SHARE, min_share: float = MIN_SHARE, min_left: int = MIN_LEFT) -> DataFrame:
     """Per row: id, the base counts, base_failed, removed_words, kept."""
-    base = base_measures(docs, id, text)
-    gone = frequent_in(docs, id, text, host, limit, share).groupBy(F.col("id").alias("gone_id")).agg(
-        F.sum("words").alias("host_removed"))
-    n, removed = F.col("n_words"), F.coalesce("host_removed", F.lit(0))
-    left = n - removed
-    failed = (n < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    depleted = (removed > 0) & ((left < min_left) | (left < min_share * n))
-    return base.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").select(
-        F.col("id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), removed.alias("removed_words"), (~failed & ~depleted).alias("kept"))
+    found = verdicts(parsed(docs, id, text, host), min_words, limit, share, min_share, min_left)
+    return found.select(F.col("id").alias(id), *MEASURES, "base_failed", "removed_words", "kept")
+
+
+def judged(docs: DataFrame, text: str = "text", host: str = "source", reject: bool = True, min_words: int = MIN_WORDS,
+           limit: int = LIMIT, share: float = SHARE, min_share: float = MIN_SHARE, min_left: int = MIN_LEFT) -> DataFrame:
+    """``docs`` with the frequent lines of their host cut out of the texts, and without the rejected rows."""
+    rows = parsed(docs.withColumn(_free("id", docs), F.lit(0)), _free("id", docs), text, host)
+    one = rows.dropDuplicates(["host_key", "d1", "d2"])
+    told = verdicts(one, min_words, limit, share, min_share, min_left).filter("NOT kept OR removed_words > 0").select(
+        F.struct("host_key", "d1", "d2").alias("of"), F.struct(F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"), "kept").alias("told"))
+    all_ = F.struct(*docs.columns).alias("doc")  # the row in one column: no name can clash
+    joined = docs.select(all_, F.struct(*_named(docs, text, host)).alias("key")).join(told, F.col("key") == F.col("of"), "left")
+    if reject:
+        joined = joined.filter(F.coalesce("told.kept", F.lit(True)))
+    whole = F.col("doc").getField(text)
+    cut = F.when(F.size("told.gone") > 0, without_lines(whole, F.col("told.gone"))).otherwise(whole)
+    return joined.select(*[(cut if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that the table does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+@F.pandas_udf(StringType())
+def without_lines(values: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of these hashes."""
+    out = []
+    for value, lines in zip(values, gone, strict=True):
+        if value is not None and lines is not None and len(lines):
+            own = set(map(int, lines))
+            value = b"\n".join(x for x in value.encode().split(b"\n") if line_hash(normalised(x)) not in own).decode()
+        out.append(value)
+    return pd.Series(out, dtype=object)
+
+
+def clean(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE) -> DataFrame:
+    """``docs`` with the frequent lines of their host cut out of the texts."""
+    return judged(docs, text, host, reject=False, limit=limit, share=share)
 
 
 def op6_quality_rules(spark, sf_dir):
@@ -174,16 +238,14 @@ WITH texts AS (
   SELECT doc_id, count(DISTINCT j) AS n FROM (
     SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM windows) WHERE c > 1) GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
-  FROM (SELECT doc_id, source, unnest(raw) AS line FROM texts)
-), named AS (
-  SELECT l.*, len(string_split(line, ' ')) AS words, max({'size': length(line), 'line': line}) OVER (PARTITION BY doc_id)['line'] AS document FROM lines l
-), hosts AS (SELECT source, count(DISTINCT document) AS n_documents FROM named GROUP BY source
+  SELECT doc_id, source, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, source, t, unnest(raw) AS line FROM texts)
+), hosts AS (SELECT source, count(DISTINCT t) AS n_documents FROM texts WHERE len(raw) > 0 GROUP BY source
 ), frequent AS (
-  SELECT n.source, n.line FROM named n JOIN hosts h ON h.source IS NOT DISTINCT FROM n.source WHERE line <> document
-  GROUP BY n.source, n.line HAVING count(DISTINCT document) > 20 AND count(DISTINCT document) > any_value(n_documents) * 0.0005
+  SELECT n.source, n.line FROM lines n JOIN hosts h ON h.source IS NOT DISTINCT FROM n.source
+  GROUP BY n.source, n.line HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > any_value(n_documents) * 0.0005
 ), removed AS (
-  SELECT n.doc_id, sum(words) AS n FROM named n JOIN frequent f ON f.line = n.line AND f.source IS NOT DISTINCT FROM n.source GROUP BY n.doc_id
+  SELECT n.doc_id, sum(len(string_split(n.line, ' '))) AS n FROM lines n JOIN frequent f ON f.line = n.line AND f.source IS NOT DISTINCT FROM n.source GROUP BY n.doc_id
 ), counted AS (
   SELECT x.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(raw) - len(list_distinct(raw)) AS n_dup_lines,
@@ -192,5 +254,5 @@ WITH texts AS (
 )
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-  AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < 0.3 * n_words)) AS kept FROM counted""",
+  AND NOT (removed_words > 0 AND (n_words - removed_words < 20 OR n_words - removed_words < 0.6 * n_words)) AS kept FROM counted""",
 }

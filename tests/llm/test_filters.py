@@ -4,6 +4,7 @@ import hashlib
 import random
 import string
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,6 +37,36 @@ def test_frequent_lines_deplete_documents(spark):
     assert cleaned[3] == fx.words_text(103, 80) and cleaned[200] == data[-1][1]
 
 
+def boilerplate(n=60):
+    """Documents of one host with a common line of eight words, most with enough of their own."""
+    menu = "Home About Contact Imprint Privacy Terms Help Search"
+    return menu, [(i, f"{menu}\n{fx.words_text(500 + i, 60, 100000)}", "en", "a", 0) for i in range(n)]
+
+
+@pytest.mark.parametrize("ids", [lambda i: 7, lambda i: None, lambda i: i])
+def test_every_row_is_judged_by_itself(spark, ids):
+    menu, data = boilerplate()
+    own = [(ids(i), data[0][1] if i < 10 else f"{menu}\n{fx.words_text(900 + i, 60, 100000)}", "en", "a", 0) for i in range(40)]
+    short = [(ids(100 + i), f"{menu}\n{fx.words_text(900 + i, 15, 100000)}", "en", "a", 0) for i in range(5)]
+    third = [(ids(200 + i), data[1][1], "en", "a", 0) for i in range(50)]
+    docs = fx.frame(spark, data + own + short + third).repartition(5)
+    found = quality_rules.quality(docs).collect()
+    assert Counter((r.removed_words, r.n_words, r.kept) for r in found) == {(8, 68, True): 150, (8, 23, False): 5}
+    kept = quality_rules.judged(docs).collect()
+    assert len(kept) == 150 and not any(menu in r.text for r in kept) and all(r.line == "l" and r.key == "key" for r in kept)
+
+
+def test_verdicts_and_cleaning_of_awkward_rows(spark):
+    data = fx.rows()
+    docs = fx.frame(spark, data).withColumns({n: F.lit(1) for n in ("d1", "d2", "host_key", "gone", "kept", "removed_words", "lines", "doc")})
+    found = quality_rules.quality(docs).collect()
+    assert len(found) == len(data) and all(r.kept == (not r.base_failed) and not r.removed_words for r in found)
+    same = quality_rules.clean(docs)
+    assert same.columns == docs.columns and fx.key_rows(same.select("doc_id", "text").collect()) == fx.key_rows((r[0], r[1]) for r in data)
+    assert quality_rules.judged(docs).count() == sum(r.kept for r in found)
+    assert quality_rules.judged(docs.limit(0)).count() == quality_rules.quality(docs.limit(0)).count() == 0
+
+
 def test_copies_do_not_reject_their_text(spark):
     text = "\n".join(fx.words_text(i, 25, 10000) for i in range(6))
     data = [(i, text, None, "a", 0) for i in range(60)]
