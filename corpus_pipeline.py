@@ -1,11 +1,11 @@
 """Document pipeline: quality rules, near-dedup, decontamination, secret redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of ``documents``. Rows are told apart by id and text, so rows with a null or repeated id are judged
-by themselves. A document that a stage rejects is gone; the secret stage changes texts (and n_chars)
-and drops nothing; the last stage returns the pieces of the packed sequences.
+of ``documents``. Rows with a null or repeated id are judged by their own text. A document that a stage rejects is gone; the
+quality stage also cuts the frequent lines of a host out of the texts it keeps, the secret stage replaces
+secrets and drops nothing (both keep n_chars right); the last stage returns the pieces of the packed sequences.
 
-Defined cases: empty tables pass through; extra columns are kept up to the last stage.
+Defined cases: empty tables pass through; extra columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,21 +19,25 @@ from fcverify.llm import decontamination, near_dedup, packing, quality_rules, se
 from fcverify.session import settle, shared_dir
 from fcverify.shipping import ship
 
-KEY = "__row_key"
 
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """With a key that only equal ids with equal texts share."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """With a key that only equal ids with equal texts share, and its name."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn(KEY, F.concat_ws(":", id_text, F.hex(F.xxhash64(text)), F.hex(F.hash(text))))
+    return docs.withColumn(key, F.concat_ws(":", id_text, F.hex(F.xxhash64(text)), F.hex(F.hash(text)))), key
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """With the size of changed texts."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    rows = _keyed(docs)
-    rejected = quality_rules.quality(rows, id=KEY).filter("NOT kept").select(KEY).distinct()
-    return rows.join(rejected, KEY, "left_anti").drop(KEY)
+    """Documents that the quality rules keep, without the frequent lines of their host."""
+    return _measured(quality_rules.judged(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,16 +53,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    rows = _keyed(docs)
-    found = decontamination.search(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id=KEY)
-    return rows.join(found.select(KEY).distinct(), KEY, "left_anti").drop(KEY)
+    rows, key = _keyed(docs)
+    found = decontamination.search(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id=key)
+    return rows.join(found.select(key).distinct(), key, "left_anti").drop(key)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
-    made = secret_scan.redact(docs, secret_scan.trained(docs))
-    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return made.withColumns(changed) if changed else made
+    return _measured(secret_scan.redact(docs, secret_scan.trained(docs)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
