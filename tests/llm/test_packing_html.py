@@ -44,7 +44,7 @@ def assert_gapless(found, capacity):
 def test_long_white_space_is_packed_by_the_librarys_ids(spark):
     from tokenizers import Tokenizer
 
-    data = [(i, t, None, None, 0) for i, t in enumerate([" " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 300_000 + "b c"])]
+    data = [(i, t, None, None, 0) for i, t in enumerate([" " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 50_000 + "b c"])]
     found = packing.pack(fx.frame(spark, data), PATH).collect()
     slow = Tokenizer.from_file(PATH)
     for i, t, *_ in data:
@@ -53,6 +53,16 @@ def test_long_white_space_is_packed_by_the_librarys_ids(spark):
         assert own == [(a, n, zlib.crc32(ids[a:a + n].tobytes())) for a, n, _ in own] and sum(n for _, n, _ in own) == len(ids)
 
 
+def test_files_are_checked_before_ranks_stand_for_merges():
+    import json
+
+    made = json.load(open(PATH, encoding="utf-8"))
+    assert packing.same_in_ranks(made)
+    other = {**made, "model": {**made["model"], "merges": made["model"]["merges"][::-1]}}
+    assert not packing.same_in_ranks(other) and not packing.same_in_ranks({**made, "normalizer": {"type": "NFC"}})
+    assert not packing.same_in_ranks({**made, "pre_tokenizer": {**made["pre_tokenizer"], "use_regex": False}})
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack(fx.frame(spark, []), PATH).count() == 0
 
