@@ -216,3 +216,20 @@ def test_base_digest(spark, docs, ratios):
         F.sha2(secret_scan.span_text(F.filter("spans", lambda s: s["kind"] < 3)).cast("binary"), 256).alias("d")).first()
     text = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in fx.base_spans(fx.rows()[19][1]))
     assert row.d == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_many_secrets_in_one_text_and_clashing_names(spark):
+    rng = random.Random(11)
+    secrets = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24)) for _ in range(600)]
+    glued = "/".join(f"{x}/client/service/config" for x in secrets)
+    hexes = " ".join("0123456789abcdef01234567" for _ in range(5000))
+    docs = spark.createDataFrame([(1, glued, 1, "m"), (2, hexes, 2, "n"), (3, None, 3, "o")], "doc_id long, text string, __hex long, spans string")
+    ratios = secret_scan.trained(docs.unionByName(docs.limit(0)))
+    made = {r.doc_id: r for r in secret_scan.scan(docs, ratios, out="found").collect()}
+    assert [tuple(s) for s in made[2].found if s.kind == 2] == fx.base_spans(hexes)
+    held = [(s.start, s.end) for s in made[1].found]
+    assert sum(any(a <= i and i + 24 <= b for a, b in held[k - 2 if k > 1 else 0:k + 3]) for k, i in enumerate(47 * n for n in range(600))) > 550
+    assert held == sorted(held) and made[3].found == [] and made[1]["__hex"] == 1
+    clean = {r.doc_id: r for r in secret_scan.redact(docs, ratios).collect()}
+    assert clean[2].text == " ".join(["[SECRET]"] * 5000) and clean[3].text is None and clean[1].spans == "m"
+    assert sum(x in clean[1].text for x in secrets) < 50 and clean[1].text.count("client/service/config") == 600
