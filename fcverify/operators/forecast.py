@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from fcverify.functions import expr as X
 from fcverify.functions.scan import CHUNK, bounded_window, running
+from fcverify.operators import boosting
 from fcverify.operators.series import KEYS, rolling_columns, with_index
 from fcverify.sources.readers import union_tables
 
@@ -245,47 +246,15 @@ def boosted_direct(
     features: Sequence[str],
     horizons: Sequence[int],
     folds: Sequence[int],
-    trees: int = 200,
-    depth: int = 8,
-    learning_rate: float = 0.05,
-    subsample: float = 0.9,
-    seed: int = 42,
-    save_to: str | None = None,
-    at_once: int = 4,
+    settings: boosting.Settings | None = None,
 ) -> DataFrame:
-    """One Spark ML boosted model per (fold, horizon), pooled over all series.
+    """One boosted model per (fold, horizon), pooled over all series; all models grow together.
 
-    ``samples`` are complete rows with ``fold, role, horizon, target`` and the
-    features; test rows come back with ``y_pred``. With ``save_to`` every fitted model
-    is written below that folder. ``at_once`` fits run side by side.
+    ``samples`` are complete rows with ``dataset, pos, ts, fold, role, horizon, target`` and the
+    features; test rows come back with ``y_pred``.
     """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = VectorAssembler(inputCols=list(features), outputCol="__features").transform(samples)
-    learner = GBTRegressor(
-        featuresCol="__features", labelCol="target", predictionCol="y_pred",
-        maxIter=trees, maxDepth=depth, stepSize=learning_rate, subsamplingRate=subsample, seed=seed,
-    )
-
-    def fitted(fold: int, horizon: int) -> DataFrame:
-        part = rows.filter((F.col("fold") == fold) & (F.col("horizon") == horizon))
-        model = learner.fit(part.filter(F.col("role") == "train"))
-        if save_to is not None:
-            model.write().overwrite().save(f"{save_to}/fold={fold}/horizon={horizon}")
-        return model.transform(part.filter(F.col("role") == "test"))
-
-    with ThreadPool(at_once) as pool:
-        scored = pool.starmap(fitted, [(fold, horizon) for fold in folds for horizon in horizons])
-    return union_tables(scored).drop("__features")
-
-
-def load_boosted(path: str, fold: int, horizon: int):
-    from pyspark.ml.regression import GBTRegressionModel
-
-    return GBTRegressionModel.load(f"{path}/fold={fold}/horizon={horizon}")
+    models = [(int(f), int(h)) for f in folds for h in horizons]
+    return boosting.fit_predict(samples, features, models, ["fold", "horizon"], [*KEYS, "pos", "ts"], settings=settings)
 
 
 # ---- seasonal autoregression from moments ------------------------------------

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fcverify.operators import forecast, series, splits
+from fcverify.operators import boosting, forecast, series, splits
 from fcverify.plans import hourly
 from fcverify.sources import readers, stations
 
@@ -142,14 +142,67 @@ def test_grouped_forecast_reports_failures(spark):
     assert np.allclose(good["y_pred"], truth, atol=1e-6)
 
 
-def test_boosted_direct_has_no_leak_and_saves(spark, tmp_path):
+def test_boosted_direct_has_no_leak_and_learns(spark):
     grid = hourly.prepared(hours(spark, [float(10 + i % 24) for i in range(420)]))
     samples = hourly.boosted_samples(grid, "holdout", (1,))
     roles = {r["role"]: r for r in samples.groupBy("role").agg(F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("horizon")).alias("hi")).collect()}
     assert roles["train"]["hi"] < 336 <= roles["test"]["lo"]
-    out = forecast.boosted_direct(samples, forecast.feature_names(), (1,), (0,), trees=3, depth=3, save_to=str(tmp_path))
-    assert out.count() > 0
-    assert forecast.load_boosted(str(tmp_path), 0, 1).getNumTrees == 3
+    settings = boosting.Settings(trees=40, rate=0.2, least_rows=4, together=2)
+    out = forecast.boosted_direct(samples, forecast.feature_names(), (1,), (0,), settings).toPandas()
+    assert len(out) == samples.filter("role = 'test'").count() and out["pos"].min() >= 336
+    assert np.sqrt(((out["y_pred"] - out["target"]) ** 2).mean()) < 2 < out["target"].std()
+
+
+def grown(x, y, splits_left, depth, least, rate):
+    """Brute force: a tree by best gain level by level, as predictions of its own rows."""
+    out, open_ = np.zeros(len(y)), [np.arange(len(y))]
+    for _ in range(depth):
+        found = []
+        for own in open_:
+            best = (1e-12, None, None)
+            for f in range(x.shape[1]):
+                for c in np.unique(x[own, f]):
+                    left, right = own[x[own, f] <= c], own[x[own, f] > c]
+                    if min(len(left), len(right)) >= least:
+                        gain = y[left].sum() ** 2 / len(left) + y[right].sum() ** 2 / len(right) - y[own].sum() ** 2 / len(own)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, left, right)
+            if best[1] is not None:
+                found.append(best)
+        open_ = []
+        for _, left, right in sorted(found, key=lambda b: -b[0]):
+            if splits_left > 0:
+                splits_left -= 1
+                out[left], out[right] = rate * y[left].mean(), rate * y[right].mean()
+                open_ += [left, right]
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [10_000, 60, 1])
+def test_trees_of_many_models_equal_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(3)
+    rows = [(m, "train" if i < 130 else "test", i, *map(float, rng.integers(0, 9, 3)), 0.0) for m in (0, 1) for i in range(150)]
+    rows = [(*r[:6], r[3] * (r[0] + 1) + (r[4] > 4) * 3 + 0.1 * r[5]) for r in rows]
+    samples = spark.createDataFrame(rows, "fold int, role string, pos int, a double, b double, c double, target double").repartition(4)
+    s = boosting.Settings(trees=4, leaves=6, depth=3, rate=0.5, row_share=1.0, feature_share=1.0, least_rows=5, together=1, settle_every=2)
+    found = {(r.fold, r.pos): r.y_pred for r in boosting.fit_predict(samples, ["a", "b", "c"], [(0,), (1,), (7,)], ["fold"], ["pos"], settings=s).collect()}
+    assert len(found) == 40
+    for m in (0, 1):
+        x = np.array([r[3:6] for r in rows if r[0] == m])
+        y = np.array([r[6] for r in rows if r[0] == m])
+        train = np.arange(130)
+        made = np.full(150, y[train].mean())
+        for _ in range(4):
+            step = grown(x[train], (y - made)[train], 5, 3, 5, 0.5)
+            same = {}  # rows with equal features end in the same leaf
+            for i, v in zip(train, step, strict=True):
+                same[tuple(x[i])] = v
+            known = [i for i in range(150) if tuple(x[i]) in same]
+            made[known] += [same[tuple(x[i])] for i in known]
+            made[[i for i in range(150) if i not in known]] = np.nan
+        checked = [i for i in range(130, 150) if not np.isnan(made[i])]
+        assert checked and [found[m, i] for i in checked] == pytest.approx(made[checked])
 
 
 def test_registered_boosted_direct_is_whole(spark, sf_dir, monkeypatch):
@@ -160,7 +213,7 @@ def test_registered_boosted_direct_is_whole(spark, sf_dir, monkeypatch):
 
     def small(samples, features, horizons, folds, **more):
         asked.append(more)
-        return fit(samples, features, horizons, folds, trees=1, depth=1)
+        return fit(samples, features, horizons, folds, boosting.Settings(trees=1, depth=1))
 
     monkeypatch.setattr(forecast, "boosted_direct", small)
     found = ENTRIES["boosted_direct"].spark(spark, sf_dir).select("fold", "horizon").distinct().collect()
