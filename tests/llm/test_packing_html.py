@@ -116,6 +116,27 @@ def test_host_boilerplate_goes_and_unique_text_stays(spark):
     assert html_extraction.extract(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, wanted", [
+    ("<article>x</article><article class='comment'>reader says</article>", ["x"]),
+    ("<main><article>x</article><section><ol><li>reader says</ol></section></main>", ["x"]),
+    ("<article><div class='header-image'>a</div><p class=share-price>b<h2 class='comment-syntax'>c</h2></article>", ["a", "b", "c"]),
+    ("<article>it <b title='unclosed>is</b> here</article>", ["it is here"]),
+    ("<article>a<br>b <a href=\"x>y\">c</a> &amp; 1 < 2</article><p", ["a b c & 1 < 2"]),
+    ("<main><p>only</main><p>outside", ["only"]), ("plain <i>text", ["plain text"]), ("<script>var a='<p>'", []), ("", []),
+])
+def test_blocks_of_small_pages(page, wanted):
+    assert html_extraction.blocks(page)[1] == wanted
+
+
+@pytest.mark.parametrize("page", ["<a '" * 100_000, "<div>" * 60_000 + "</b>" * 60_000, "<a \">\" " * 100_000, "<p x='" * 50_000 + ">" * 50_000, "<!--" * 100_000])
+def test_parsing_is_linear(page):
+    import time
+
+    started = time.process_time()
+    html_extraction.blocks(page)
+    assert time.process_time() - started < 2
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipeline
 
