@@ -210,8 +210,9 @@ cte(
 )
 cte(
     "paired",
-    "SELECT p.*, b.y_pred AS y_base FROM pred p JOIN pred b ON b.model = 'persistence' AND b.dataset = p.dataset "
-    "AND b.horizon = p.horizon AND b.origin_date = p.origin_date AND b.date = p.date WHERE p.model <> 'persistence'",
+    "SELECT * EXCLUDE (n_base) FROM (SELECT *, max(CASE WHEN model = 'persistence' THEN y_pred END) OVER w AS y_base, "
+    "count(CASE WHEN model = 'persistence' THEN 1 END) OVER w AS n_base FROM pred WINDOW w AS (PARTITION BY dataset, horizon, origin_date, date)) "
+    "WHERE model <> 'persistence' AND n_base > 0",
 )
 cte(
     "cell_skill",
