@@ -34,6 +34,7 @@ from fcverify.llm.words import U64, Words, mix, texts
 WINDOW = 64
 MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.6
 SAMPLE_DOCS = 400
+SAMPLE_LINES, SAMPLE_LINE = 10_000, 2000
 VARIANTS = 24
 STEPS, RATE, PENALTY = 300, 2.0, 1e-4
 SCREEN_BITS = 20
@@ -189,7 +190,7 @@ def variants(words: list[str], filler: list[str], rng: np.random.Generator) -> l
 def train(paragraphs: list[str], seed: int = 1) -> Model:
     """Model from the templates and ordinary paragraphs."""
     rng = np.random.default_rng(seed)
-    filler = [w for p in paragraphs for w in p.split()][:20_000]
+    filler = [w for p in paragraphs for w in p.split()]
     rows, target = [], []
     for f, notices in enumerate(TEMPLATES.values()):
         for notice in notices:
@@ -240,13 +241,16 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def ordinary_paragraphs(docs: DataFrame, text: str = "text", size: int = SAMPLE_DOCS) -> list[str]:
-    """Lines without licence words from about ``size`` documents, chosen by hash."""
+    """Distinct lines without licence words from about ``size`` documents, chosen by hash.
+
+    At most ``SAMPLE_LINES`` lines, those with the smallest hashes, of their first ``SAMPLE_LINE`` characters.
+    """
     one_in = max(1, docs.count() // size)
     picked = docs.filter(F.pmod(F.xxhash64(F.col(text)), F.lit(one_in)) == 0)
     lines = picked.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
     stated = "(?i)licen[cs]|copyright|rights reserved|public domain|creative commons|redistribut|spdx"
-    plain = lines.filter(~F.col("line").rlike(stated) & (F.length(F.trim("line")) > 0)).distinct()
-    return sorted(plain.toArrow()["line"].to_pylist())
+    plain = lines.filter(~F.col("line").rlike(stated) & (F.length(F.trim("line")) > 0)).select(F.substring("line", 1, SAMPLE_LINE).alias("line")).distinct()
+    return sorted(plain.orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).toArrow()["line"].to_pylist())
 
 
 def densest(hits: np.ndarray) -> tuple[int, int]:

@@ -192,7 +192,8 @@ def full_sets(docs: DataFrame, members: DataFrame, id: str, text: str, width: in
     size = X.corpus_bytes(docs, text)
     chunks = max(1, -(-size // chunk_bytes))
     block_bits = max(1, int(np.ceil(np.log2(max(size / 6 / block_keys, 2)))))
-    base = docs.select(X.chunk_of([F.col(id)], chunks).alias("chunk"), F.col(id).alias("id"), F.col(text).alias("text"))
+    # rows without an id are linked with nothing, however many there are
+    base = docs.filter(F.col(id).isNotNull()).select(X.chunk_of([F.col(id)], chunks).alias("chunk"), F.col(id).alias("id"), F.col(text).alias("text"))
     wanted = members.select(X.chunk_of([F.col("id")], chunks).alias("chunk"), "id")
 
     def sets_of(table: pa.Table, ids: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
