@@ -129,15 +129,14 @@ def parsed(docs: DataFrame, id: str, text: str, host: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            made = [measure(t) for t in texts(batch.column(4))]
-            if not made:
-                continue
-            columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*made, strict=True)]
-            own = [line_words(v.encode()) if v else {} for v in batch.column(4).to_pylist()]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
-            items = pa.StructArray.from_arrays([pa.array([k for x in own for k in x], pa.int64()), pa.array([w for x in own for w in x.values()], pa.int64())], ["line", "words"])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], *columns, pa.ListArray.from_arrays(offsets, items).cast(line_type)],
-                                             ["id", "host_key", "d1", "d2", *MEASURES, "lines"])
+            for t in texts(batch.column(4)):  # a few MB at a time
+                rows = batch.slice(t.first, len(t))
+                own = [line_words(v.encode()) if v else {} for v in rows.column(4).to_pylist()]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
+                items = pa.StructArray.from_arrays([pa.array([k for x in own for k in x], pa.int64()), pa.array([w for x in own for w in x.values()], pa.int64())], ["line", "words"])
+                columns = [pa.array(c.astype(np.int64)) for c in measure(t)]
+                yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(4)], *columns, pa.ListArray.from_arrays(offsets, items).cast(line_type)],
+                                                 ["id", "host_key", "d1", "d2", *MEASURES, "lines"])
 
     schema = f"id {kind}, host_key string, d1 long, d2 long, " + ", ".join(f"{n} long" for n in MEASURES) + ", lines array<struct<line:bigint,words:bigint>>"
     return settle(docs.select(F.col(id), *_named(docs, text, host), F.col(text)).mapInArrow(run, schema))
