@@ -192,7 +192,7 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", reject: bo
     if reject:
         joined = joined.filter(F.coalesce("told.kept", F.lit(True)))
     # the join sorts copies of a text together: dealt anew, no batch of a later step holds copies of a very long one alone
-    joined = joined.select("doc", "told").hint("rebalance")
+    joined = joined.select("doc", "told").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     whole = F.col("doc").getField(text)
     cut = F.when(F.size("told.gone") > 0, without_lines(whole, F.col("told.gone"))).otherwise(whole)
     return joined.select(*[(cut if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
