@@ -13,6 +13,8 @@ from fcverify.operators.splits import training_rows
 from fcverify.session import settle
 
 MIN_SAMPLES, MIN_EVENTS = 40, 5
+# Rows that one task of a k-means round reads: every task of every round reports to the driver.
+FIT_ROWS = 1 << 18
 WIND_NAMES = ("wind_speed_ms", "wind_speed", "vv")
 HUMIDITY_NAMES = ("humidity_pct", "humidity", "rh", "hr")
 CLUSTER_COLUMNS = ("wind_speed_ms", "wind_dir_deg", "temp_c", "humidity_pct", "pressure_hpa", "solar_rad_wm2", "precip_mm",
@@ -128,7 +130,10 @@ def cluster_regimes(
 
     Missing values take the training median, columns are standardised on the
     training rows. Labels: dataset, pos, fold, ``cluster_k<k>_regime`` for rows in the
-    fold's test window; a fold with too few rows is 'unavailable'.
+    fold's test window; a fold with too few rows is 'unavailable'. The training rows are
+    dealt by key into tasks of about ``FIT_ROWS`` and sorted there, so the random start
+    depends on the rows, not on how they lay before, and what the rounds send to the driver
+    follows the number of rows, not that of shuffle partitions.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -157,7 +162,8 @@ def cluster_regimes(
         fill = {c: marks[f"{c}_median"] for c in usable}
         doubles = [F.col(c).cast("double").alias(c) for c in usable]
         assemble = VectorAssembler(inputCols=usable, outputCol="__v")
-        ready = assemble.transform(train.select("dataset", "pos", *doubles).fillna(fill)).persist()
+        dealt = train.select("dataset", "pos", *doubles).fillna(fill).repartition(-(-sizes["__n"] // FIT_ROWS), "dataset", "pos")
+        ready = assemble.transform(dealt.sortWithinPartitions("dataset", "pos")).persist()
         scaler = StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True).fit(ready)
         model = KMeans(featuresCol="__z", predictionCol="__id", k=k, seed=seed, maxIter=max_iter).fit(scaler.transform(ready))
         ready.unpersist()

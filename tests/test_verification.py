@@ -265,3 +265,19 @@ def test_horizon_table_without_a_baseline_raises(spark):
     rows = cell(spark, [1.0, 2.0, 4.0], [1.0, 2.5, 3.0])
     with pytest.raises(Exception, match="baseline"):
         stattests.kge_horizon_table(rows).collect()
+
+
+def test_clusters_are_fitted_in_tasks_by_rows_whatever_the_layout(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    tasks, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows, *a: tasks.append(rows.rdd.getNumPartitions()) or fit(self, rows, *a))
+    rng = np.random.default_rng(7)
+    rows = [("d", i, *map(float, rng.normal(size=2)), float(i % 24)) for i in range(600)]
+    bounds = spark.createDataFrame([("d", 0, 400, 500), ("d", 1, 500, 600)], "dataset string, fold int, train_end long, test_end long")
+    found = []
+    for order, parts in ((rows, 60), (rows[::-1], 7)):
+        table = spark.createDataFrame(spark.sparkContext.parallelize(order, parts), "dataset string, pos long, temp_c double, humidity_pct double, hour double")
+        labels, _ = regimes.cluster_regimes(table, bounds, (0, 1), 4)
+        found.append(sorted(map(tuple, labels.collect())))
+    assert tasks == [1] * 4 and len(found[0]) == 200 and found[0] == found[1]
