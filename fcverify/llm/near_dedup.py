@@ -21,8 +21,9 @@ connected component of links and is named after its smallest id.
    bucket's largest component, gives a sharper bound: two members have in common at most the smaller of
    what each shares with the hub, and the shingles both have beyond it. So a member x outside the
    largest component is paired with a member y of another one only if the first part alone can reach
-   the threshold, or if x and y meet in an index of shingles beyond the hub, often enough. These pairs
-   are verified the same way. After this every pair that shares a bucket is verified, ruled out by an
+   the threshold, or if x and y meet in an index of shingles beyond the hub, often enough. The index
+   holds the rare ones of each member only, as many as a pair that reaches the threshold cannot all
+   miss (``meeting``). These pairs are verified the same way. After this every pair that shares a bucket is verified, ruled out by an
    exact bound or already in one component: no link that could join two groups is left out.
 
 Defined cases: null text, or none but white space, has an empty set, is linked with nothing and
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fcverify.llm import exchange as X
@@ -252,6 +253,30 @@ def components(links: DataFrame) -> DataFrame:
         edges = settle(small)
 
 
+def meeting(index: DataFrame, percent: int) -> DataFrame:
+    """hub, a, b, n_a, n_b, common_a, common_b: the pairs that may have enough shingles beyond their hub in common.
+
+    ``index``: hub, id, extra, n, component, common, asks. A set of n shingles, c of them the hub's, reaches the threshold only
+    with t = n * percent / 100 - c others in common. Its extras that another one has stand in an order of the hub, rare ones
+    first: the first that a pair has in common is among the first m - t + 1 of the m of either, and what follows it in both
+    must be long enough. So the extras that many hold are hardly ever compared.
+    """
+    held = index.groupBy("hub", "extra").agg(F.count("*").alias("held"), F.max("asks").alias("asked"), (F.min("component") != F.max("component")).alias("mixed"))
+    shared = index.join(held.filter("asked AND mixed").select("hub", "extra", "held"), ["hub", "extra"])
+    own = Window.partitionBy("hub", "id")
+    ranked = shared.withColumn("place", F.row_number().over(own.orderBy("held", "extra"))).withColumn("after", F.count("*").over(own) - F.col("place"))
+    need = F.greatest(F.lit(1), F.floor((percent * F.col("n") + 99) / 100) - F.col("common"))
+    first = ranked.filter(F.col("after") + 1 >= need)
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "common", "asks", "after")] + [F.col("id").alias(x)]
+    most = F.least("common_a", "common_b") + 1 + F.least("after_a", "after_b")
+    fits = (
+        (F.col("component_a") != F.col("component_b")) & (~F.col("asks_b") | (F.col("a") < F.col("b")))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    )
+    found = first.filter("asks").select("hub", "extra", *side("a")).join(first.select("hub", "extra", *side("b")), ["hub", "extra"]).filter(fits)
+    return found.select("hub", "a", "b", "n_a", "n_b", "common_a", "common_b").distinct()
+
+
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     kind = docs.schema[id].dataType.simpleString()
@@ -313,9 +338,9 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
         apart & reaches(F.least("common_a", "common_b")))
     index = placed.drop("key").distinct().join(
         beyond.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.explode("extras").alias("extra")), ["id", "hub"])
-    met = index.filter("asks").select("hub", "extra", *side("a")).join(index.select("hub", "extra", *side("b")), ["hub", "extra"]).filter(apart)
-    met = met.groupBy("hub", "a", "b", "n_a", "n_b", "common_a", "common_b").agg(F.count("*").alias("extras")).filter(
-        reaches(F.least("common_a", "common_b") + F.col("extras")))
+    arrays = beyond.select(F.col("b").alias("hub"), F.col("a").alias("id"), "extras")
+    met = meeting(index, percent).join(arrays.toDF("hub", "a", "x_a"), ["hub", "a"]).join(arrays.toDF("hub", "b", "x_b"), ["hub", "b"]).filter(
+        reaches(F.least("common_a", "common_b") + F.size(F.array_intersect("x_a", "x_b"))))
     cross = ordered(by_hub.select("a", "b").unionByName(met.select("a", "b"))).join(star, ["a", "b"], "left_anti")
     label = components(links.unionByName(linked(cross)))
 

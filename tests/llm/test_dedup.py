@@ -85,3 +85,25 @@ def test_empty_tables(spark):
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert near_dedup.near_groups(empty).count() == 0
+
+
+def test_pairs_beyond_a_hub_are_met_by_their_rare_shingles(spark):
+    """All members hold ten common shingles beyond the hub; only pairs that could reach the threshold are compared."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(9)
+    sets = {i: (rng.randint(95, 105), rng.randint(68, 74), {*range(10), *rng.sample(range(10, 3000), 8)}) for i in range(200)}
+    for i in range(0, 40, 2):
+        shared = rng.sample(range(5000, 9000), 12)
+        sets[i][2].update(shared)
+        sets[i + 1][2].update(shared[:rng.randint(2, 12)])
+    asks = {i: i % 3 > 0 for i in sets}
+    index = spark.createDataFrame(
+        [(0, i, x, n, i, c, asks[i]) for i, (n, c, extras) in sets.items() for x in extras],
+        "hub long, id long, extra long, n long, component long, common long, asks boolean")
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in near_dedup.meeting(index, 75).collect()}
+    able = {(a, b) for a, b in combinations(sets, 2) if (asks[a] or asks[b])
+            and 175 * (min(sets[a][1], sets[b][1]) + len(sets[a][2] & sets[b][2])) >= 75 * (sets[a][0] + sets[b][0])
+            and 100 * min(sets[a][0], sets[b][0]) >= 75 * max(sets[a][0], sets[b][0])}
+    assert able and able <= found and len(found) < 500
