@@ -40,6 +40,7 @@ WIDTH, PERCENT = 5, 75
 BINS, TINY_BINS = 16, 1 << 16
 BLOCK_ITEMS = 20_000
 SCREEN_BITS = 22
+SLICE = 256 << 10
 
 
 @dataclass
@@ -156,7 +157,7 @@ def _scan(docs: DataFrame, items: list[Item], percent: int, schema: str) -> Data
         blocks = [Block(width, own) for width, own in held.value.items()]
         for batch in batches:
             place, item, n_item, n_shared = [], [], [], []
-            for t in texts(batch.column(1)):
+            for t in texts(batch.column(1), SLICE):
                 w = t.words((0,), fold=True)
                 for block in blocks:
                     at, (h,) = w.windows(block.width)

@@ -24,6 +24,22 @@ def test_base_measures(docs):
     assert fx.key_rows(found) == fx.key_rows((r[0], *fx.measures(r[1])) for r in fx.rows() for _ in [0])
 
 
+def test_measures_take_little_memory_of_a_large_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = fx.words_text(1, 800)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 1500), *[pa.array([""] * 1500)] * 3, pa.array([text] * 1500)], list("abcde"))
+    list(quality_rules._parse([batch.slice(0, 100)]))
+    tracemalloc.start()
+    for _ in quality_rules._parse([batch]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) * 1500 > 4 << 20 and peak < 40 << 20
+
+
 def test_frequent_lines_deplete_documents(spark):
     menu = "Home About Contact Imprint Privacy Terms of use and more links"
     data = [(i, f"{menu} {i % 10}\n{fx.words_text(100 + i, 80)}", None, "a", 0) for i in range(40)]
