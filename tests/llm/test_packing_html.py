@@ -116,6 +116,64 @@ def test_host_boilerplate_goes_and_unique_text_stays(spark):
     assert html_extraction.extract(table.limit(0)).count() == 0
 
 
+def by_host(pages):
+    """Brute force: texts without the runs that enough distinct pages of a host hold, by whether they mark an article."""
+    split = [(i, u.split("/")[2], *html_extraction.blocks(h)) for i, u, h in pages]
+    words = [" ".join(b).split() for *_, b in split]
+    streams, places, out = defaultdict(set), defaultdict(set), {}
+    for (_, host, marked, _), w in zip(split, words):
+        streams[host, marked].add(tuple(w))
+        for i in range(len(w) - 7):
+            places[host, marked, tuple(w[i:i + 8])].add(tuple(w))
+    for (page, host, marked, own), w in zip(split, words):
+        least = max(8, len(streams[host, marked]) // 2 + 1) if marked else 3
+        gone = {j for i in range(len(w) - 7) if len(places[host, marked, tuple(w[i:i + 8])]) >= least for j in range(i, i + 8)}
+        if marked and 2 * len(gone) > len(w):
+            gone = set()
+        kept, n = [], 0
+        for b in own:
+            left = [x for j, x in enumerate(b.split(" "), n) if j not in gone]
+            n += len(b.split(" "))
+            kept += [" ".join(left)] if left else []
+        out[page] = "\n\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("chunk_bytes", [600, 1 << 20])
+def test_every_page_goes_through_the_suffixes_of_its_host(spark, chunk_bytes):
+    notice = "This page may hold paid links and we get a share"
+    shared = fx.words_text(99, 12, 10**6)
+    unique = [fx.words_text(i, 30, 10**6) for i in range(40)]
+    pages = [(i, f"http://a.example/{i}", f"<article><p>{unique[i]}</p><p>{notice}</p>{f'<p>{shared}</p>' if i < 9 else ''}</article>") for i in range(20)]
+    pages += [(20 + i, "http://a.example/copy", pages[0][2]) for i in range(30)]  # no evidence for what they hold
+    pages += [(50 + i, f"http://b.example/{i}", f"<main>{notice}<p>{unique[i]}</main>") for i in range(7)]  # too few
+    pages += [(60 + i, f"http://c.example/{i}", f"<article>{unique[20]}<p>{shared}<p>{unique[20 + i][:40]}</article>") for i in range(1, 13)]  # versions of one article
+    pages += [(80 + i, f"http://a.example/o{i}", f"<p>{unique[i]}<p>{shared}<p>{notice if i else ''}") for i in range(3)]  # marked pages tell nothing of others
+    wanted = by_host(pages)
+    assert wanted[0] == f"{unique[0]}\n\n{shared}" and wanted[15] == unique[15] and notice in wanted[50] and wanted[61].startswith(unique[20])
+    assert wanted[80] == unique[0] and wanted[81] == f"{unique[1]}\n\n{notice}"
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extraction.extract(table, chunk_bytes=chunk_bytes).collect()} == wanted
+
+
+def test_long_pages_are_hashed_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    bodies = ["", "one", "a b c d e f g h", "long" * 40 + " " + " ".join("ab" * (i % 5 + 1) for i in range(300)).replace(" ab ", "\n", 9), "x" * 500]
+    table = pa.table({"text": [pa.compress(b.encode(), "zstd", asbytes=True) for b in bodies], "size": [len(b) for b in bodies], "group": [2, 3, 5, 7, 8]})
+    whole = html_extraction._runs(table)
+    for limit in (1, 20, 50, 333):
+        monkeypatch.setattr(html_extraction, "PIECE_BYTES", limit)
+        assert all(np.array_equal(a, b) for a, b in zip(whole[1:], html_extraction._runs(table)[1:]))
+    assert len(whole[1]) == 1 + len(bodies[3].split()) - 7 and list(whole[3][:3]) == [0, 0, 1]
+
+
+def test_given_articles_keep_what_their_hosts_share(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
+    wanted = {r.page_id: "\n\n".join(html_extraction.blocks(r.html)[1]) for r in table.collect()}
+    assert {r.page_id: r.text for r in html_extraction.extract(table).collect()} == wanted
+
+
 @pytest.mark.parametrize("page, wanted", [
     ("<article>x</article><article class='comment'>reader says</article>", ["x"]),
     ("<main><article>x</article><section><ol><li>reader says</ol></section></main>", ["x"]),
