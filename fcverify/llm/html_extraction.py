@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -40,6 +41,7 @@ from fcverify.llm.words import U64, covered, mix, texts
 
 RUN, MIN_PAGES, MIN_MARKED = 8, 3, 8
 CHUNK_BYTES, BLOCK_KEYS = 4 << 20, 4 << 20
+MANY_CHUNKS, MOST_GROWTH = 1024, 4
 PIECE_BYTES = 1 << 20
 PAGES, CELLS, RUNS = 1, 2, 3
 
@@ -305,13 +307,35 @@ def _own(table: pa.Table, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([left.pop(r, None) is not None for r in rows]), np.array([need.get(g, 0) for g, _ in rows])
 
 
+def chunk_count(size: int, chunk_bytes: int) -> int:
+    """Chunks grow with a corpus of more than ``MANY_CHUNKS``, up to ``MOST_GROWTH`` times, else rows of the exchange get small."""
+    grown = min(MOST_GROWTH, max(1, size / chunk_bytes / MANY_CHUNKS))
+    return max(1, int(np.ceil(size / (chunk_bytes * grown))))
+
+
+def _each_key_list(table: pa.Table, change: Callable[[bytes], bytes]) -> pa.Table:
+    keys = pa.array([change(k) for k in table["keys"].to_pylist()], pa.binary())
+    return table.set_column(table.schema.get_field_index("keys"), "keys", keys)
+
+
+def deflated(table: pa.Table) -> pa.Table:
+    """Key lists of a chunk made smaller: the highest byte plane of their steps is small numbers."""
+    return _each_key_list(table, lambda k: zlib.compress(k, 1))
+
+
+def answer(dtypes: tuple[str, ...], rule: Callable[[X.Parts, np.ndarray, int], dict[int, np.ndarray]]) -> Callable[[pa.Table], pa.Table]:
+    """``exchange.answer`` to deflated key lists."""
+    run = X.answer(dtypes, rule)
+    return lambda table: run(_each_key_list(table, zlib.decompress))
+
+
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", body: str = "html",
             chunk_bytes: int = CHUNK_BYTES, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """Per row: id, url, text (blocks joined by an empty line), n_chars."""
     size = X.corpus_bytes(pages, body)
-    base = parsed(pages, id, url, body, max(1, -(-size // chunk_bytes)))
-    block_bits = max(1, int(np.ceil(np.log2(max(size / 6 / block_keys, 2)))))
-    cell_bits = min(62, max(16, block_bits + 1, int(np.ceil(np.log2(max(size, 2))))))  # about eight cells a run
+    base = parsed(pages, id, url, body, chunk_count(size, chunk_bytes))
+    block_bits = max(1, int(np.ceil(np.log2(max(size / 8 / block_keys, 2)))))
+    cell_bits = min(62, max(16, block_bits + 1, int(np.ceil(np.log2(max(size, 2))))))  # a run takes about eight bytes: eight cells a run
 
     def cells(keys: np.ndarray) -> np.ndarray:
         return keys >> U64(64 - cell_bits) << U64(1) | keys & U64(1)
@@ -323,7 +347,8 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", body: str =
         _, keys, page, _ = _runs(table)
         own, _ = _own(table, replies.to_pylist())
         found, n, _ = counted(cells(keys), page, own)
-        return X.send(table["chunk"][0].as_py(), CELLS, [found, np.minimum(n, 255).astype("u1")], np.zeros(len(found), bool), block(found, cell_bits + 1))
+        return deflated(X.send(table["chunk"][0].as_py(), CELLS, [found, np.minimum(n, 255).astype("u1")], np.zeros(len(found), bool),
+                               block(found, cell_bits + 1)))
 
     def on_enough(keys: np.ndarray, replies: list[dict]) -> np.ndarray:
         """Which runs have a cell on enough pages."""
@@ -338,7 +363,7 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", body: str =
         found, n, place = counted(keys[on], page[on], own)
         least = np.zeros(len(found), "<u4")
         least[place] = need[page[on]]
-        return X.send(table["chunk"][0].as_py(), RUNS, [found, n.astype("<u4"), least], np.zeros(len(found), bool), block(found, 64))
+        return deflated(X.send(table["chunk"][0].as_py(), RUNS, [found, n.astype("<u4"), least], np.zeros(len(found), bool), block(found, 64)))
 
     def rewrite(table: pa.Table, replies: pa.Table) -> pa.Table:
         bodies, keys, page, start = _runs(table)
@@ -358,9 +383,9 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", body: str =
     kind = pages.schema[id].dataType.simpleString()
     own = distinct_pages(base)
     seen = (base.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(send, X.KEYS_SCHEMA)
-            .groupBy("block").applyInArrow(X.answer(("uint8",), cells_on_pages), X.REPLY_SCHEMA))
+            .groupBy("block").applyInArrow(answer(("uint8",), cells_on_pages), X.REPLY_SCHEMA))
     judged = (base.groupBy("chunk").cogroup(seen.unionByName(own).groupBy("chunk")).applyInArrow(ask, X.KEYS_SCHEMA)
-              .groupBy("block").applyInArrow(X.answer(("<u4", "<u4"), runs_on_pages), X.REPLY_SCHEMA))
+              .groupBy("block").applyInArrow(answer(("<u4", "<u4"), runs_on_pages), X.REPLY_SCHEMA))
     out = base.groupBy("chunk").cogroup(seen.unionByName(judged).groupBy("chunk")).applyInArrow(rewrite, f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 

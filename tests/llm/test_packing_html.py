@@ -168,6 +168,12 @@ def test_long_pages_are_hashed_in_parts(monkeypatch):
     assert len(whole[1]) == 1 + len(bodies[3].split()) - 7 and list(whole[3][:3]) == [0, 0, 1]
 
 
+def test_chunks_grow_with_a_large_corpus():
+    mb = 1 << 20
+    assert [html_extraction.chunk_count(n, 4 * mb) for n in (0, 1, 4 * mb + 1, 4096 * mb)] == [1, 1, 2, 1024]
+    assert html_extraction.chunk_count(8192 * mb, 4 * mb) == 1024 and html_extraction.chunk_count(65536 * mb, 4 * mb) == 4096
+
+
 def test_given_articles_keep_what_their_hosts_share(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
     wanted = {r.page_id: "\n\n".join(html_extraction.blocks(r.html)[1]) for r in table.collect()}
